@@ -15,6 +15,12 @@ def op1_weighted_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.url_filter import judge
 
@@ -39,5 +45,5 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op4_url_character_models, op5_benchmark_decontamination, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op4_url_character_models, op5_benchmark_decontamination, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
 ORACLE_SQL: dict[str, str] = {}
