@@ -21,6 +21,12 @@ def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.pii import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.url_filter import judge
 
@@ -45,5 +51,5 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op4_url_character_models, op5_benchmark_decontamination, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
 ORACLE_SQL: dict[str, str] = {}
