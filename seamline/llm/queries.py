@@ -39,6 +39,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.toxicity import report
 
@@ -57,5 +63,5 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op8_toxicity_noisy_channel, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
+QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op7_html_tree_scoring, op8_toxicity_noisy_channel, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
 ORACLE_SQL: dict[str, str] = {}
