@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; bounds a worker's memory at about 60 times this.
@@ -38,6 +39,21 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bit_filter(df: DataFrame, number, bits: int) -> np.ndarray:
+    """Which residues of `number` occur in df: a filter of fixed size, which bounds what comes to the driver however many rows there are."""
+    out = np.zeros(bits, bool)
+    out[df.select(F.pmod(number, F.lit(bits)).cast("int").alias("bit")).where("bit is not null").distinct().toArrow().column(0).to_numpy()] = True
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that every bit of a hash depends on every bit of the input."""
     x = x ^ (x >> U64(30))

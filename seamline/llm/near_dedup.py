@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import NOT_SPACE, U64, chunks, mix, prefix_hashes, span_hashes, stored, word_hashes, word_spans
+from seamline.llm.common import NOT_SPACE, U64, bit_filter, chunks, discard, mix, prefix_hashes, span_hashes, stored, word_hashes, word_spans
 from seamline.llm.components import components
 
 #: Words of a shingle, and the similarity of a link in hundredths.
@@ -27,6 +27,12 @@ SIGMAS = 5.0
 BLOCK = 2048
 #: Candidates of one class that share a verifying group.
 FAN = 512
+#: Estimate from which a class is rather paired with the bucket's least class than with the most similar one.
+SURE = 0.85
+#: Bands in common from which the least class is thought of at all.
+SHARED = 8
+#: Bits of the filter that keeps texts nobody asks for out of a join.
+FILTER_BITS = 1 << 22
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -103,7 +109,10 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns cls and registers in; a row (key, cls) for each band that has a shingle out."""
+    """Columns cls and registers in; a row (key, id) for each band that has a shingle out.
+
+    id is half of the class's digest. Two classes may share one; joins on it then bring both, and verification tells them apart.
+    """
     salt = mix(np.arange(1, BANDS + 1, dtype=U64))
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
@@ -111,7 +120,8 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = _registers(part.column(1))
             filled = (r.reshape(-1, BANDS, BAND) != EMPTY).any(2)
             key = mix(r.view(U64).reshape(-1, BANDS) ^ salt)
-            yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), part.column(0).take(pa.array(np.nonzero(filled)[0]))], names=["key", "cls"])
+            ids = np.frombuffer(b"".join(part.column(0).to_pylist()), ">i8")[::2].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), pa.array(ids[np.nonzero(filled)[0]])], names=["key", "id"])
 
 
 def estimate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +153,15 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["u", "v"])
 
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, side, cls, root, registers) sorted by (key, i, j): likely pairs of a cell whose roots differ.
 
-    A cell holds the blocks i and j of a bucket; side tells which. No cell has more than about 2 * BLOCK rows.
+    A cell holds the blocks i and j of a bucket; side tells which. No cell has more than about 2 * BLOCK
+    rows. With best_only each root of a cell gets its most similar pair alone.
     """
     name, held = None, []
 
-    def pairs() -> Iterator[tuple[bytes, bytes, float]]:
+    def pairs() -> Iterator[tuple[bytes, bytes, bytes, float]]:
         if len(held) < 2:
             return
         roots = np.unique([h[2] for h in held], return_inverse=True)[1]
@@ -159,22 +170,32 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = np.array([h[0] for h in held])
         r = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), BUCKETS)
         whole = name[1] == name[2]
+        best: dict[int, tuple[float, int, int]] = {}
         for x in range(len(held)):
             other = roots != roots[x]
-            other[: x + 1] = False
+            if not best_only:
+                other[: x + 1] = False
             if not whole:
                 other &= side != side[x]
             ys = np.flatnonzero(other)
-            if len(ys):
-                estimate, used = estimates(r[x], r[ys])
-                for k in np.flatnonzero(likely(estimate, used)):
-                    a, b = held[x][1], held[ys[k]][1]
-                    if a != b:
-                        yield (max(a, b), min(a, b), float(estimate[k]))
+            if not len(ys):
+                continue
+            estimate, used = estimates(r[x], r[ys])
+            fits = np.flatnonzero(likely(estimate, used))
+            if best_only:
+                if len(fits):
+                    k = fits[np.argmax(estimate[fits])]
+                    if (found := (float(estimate[k]), x, int(ys[k]))) > best.get(int(roots[x]), (-1.0, 0, 0)):
+                        best[int(roots[x])] = found
+                continue
+            for k in fits:
+                yield (*_pair(held[x][1], held[ys[k]][1]), held[x][2], float(estimate[k]))
+        for e, x, y in best.values():
+            yield (*_pair(held[x][1], held[y][1]), held[x][2], e)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out := list(pairs()):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("cls", pa.binary()), ("hub", pa.binary()), ("estimate", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("cls", pa.binary()), ("hub", pa.binary()), ("root", pa.binary()), ("estimate", pa.float64())]))
 
     for batch in batches:
         for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -185,6 +206,10 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _pair(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    return max(a, b), min(a, b)
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links of (cls, hub) pairs. A hub's pairs are spread over groups of about FAN, each with one copy of the hub's text."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("groups"))
@@ -196,51 +221,102 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(verify, "u binary, v binary")
 
 
+def _id(column: str):
+    return F.conv(F.hex(F.substring(column, 1, 8)), 16, -10).cast("long")
+
+
+def _promising(distinct: DataFrame, shared: DataFrame) -> DataFrame:
+    """One likely pair (cls, hub) of each class: with the least class of its buckets if that is surely similar, else with the most similar."""
+    counted = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    two = counted.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("a"), F.min(F.when(F.col("n") >= SHARED, F.col("hub"))).alias("b"))
+    pairs = two.select("id", F.explode(F.array_distinct(F.array("a", F.coalesce("b", "a")))).alias("hub_id"))
+    sketch = distinct.select("id", "cls", "registers")
+    joined = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("hub_id"), F.col("cls").alias("hub"), F.col("registers").alias("hub_registers")), "hub_id")
+    likely_pairs = joined.where("cls <> hub").select("cls", "hub", "registers", "hub_registers").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double")
+    sure = F.col("estimate") >= SURE
+    order = F.struct(sure, F.when(sure, -_id("hub")).otherwise(F.lit(None)), F.col("estimate"), F.col("hub"))
+    return likely_pairs.groupBy("cls").agg(F.max_by("hub", order).alias("hub"))
+
+
+def _cells(distinct: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, dealt to cells of two blocks."""
+    info = distinct.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "cls", "registers", F.coalesce("root", "cls").alias("root")).withColumn("mark", F.xxhash64("root"))
+    rooted = shared.select("key", "id").join(info.select("id", "mark"), "id").select("key", "id", "mark")
+    mixed = rooted.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = shared.select("key", "id").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "id").join(info, "id")
+    return cells.select("key", "i", "j", "side", "cls", "root", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+PAIRS = "cls binary, hub binary, root binary, estimate double"
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n, cls, root): set size, class of equal shingle sets, and the least class of its component, one row per document, stored.
 
     1. Documents are signed; equal sets form a class, represented by its least doc_id.
     2. In every band's bucket each class is paired with the bucket's least class, and each class's
        most promising pair is verified on the full sets. Links so far give components.
-    3. In buckets that still hold several components, classes of unlike components are compared by
-       sketch, block by block; what may be similar is verified too. So every pair that shares a band
-       is either in one component already, or ruled out by its sketches, or verified.
+    3. In buckets that still hold several components, the most similar pair of each component is
+       verified, as long as that links any.
+    4. At last all likely pairs of unlike components in a bucket are verified. So every pair that
+       shares a band is in one component, or ruled out by its sketches, or verified.
     """
     signed = stored(documents.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
-    distinct = stored(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers")), "classes")
-    keys = stored(distinct.select("cls", "registers").mapInArrow(bands, "key long, cls binary"), "bands")
-    hubs = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("key", "hub")
-    star = keys.join(hubs, "key").where("cls <> hub").select("cls", "hub").distinct()
-    sketch = distinct.select("cls", "registers")
-    with_sketches = star.join(sketch, "cls").join(sketch.select(F.col("cls").alias("hub"), F.col("registers").alias("hub_registers")), "hub")
-    promising = stored(with_sketches.select("cls", "hub", "registers", "hub_registers").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double"), "pairs")
-    first = promising.groupBy("cls").agg(F.max_by("hub", F.struct("estimate", "hub")).alias("hub"))
-    links = stored(_links(first, _texts(documents, signed, first)), "links")
+    distinct = stored(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers")).withColumn("id", _id("cls")), "classes")
+    keys = distinct.select("cls", "registers").mapInArrow(bands, "key long, id long")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
+    shared = stored(keys.join(hubs, "key"), "shared")
+    tried = stored(_promising(distinct, shared), "pairs")
+    links = _verified(documents, distinct, tried)
     found = components(links)
+    best_only = True
+    while True:
+        likely_pairs = _cells(distinct, shared, found).mapInArrow(lambda b, o=best_only: across(b, o), PAIRS)
+        if best_only:
+            likely_pairs = likely_pairs.groupBy("root").agg(F.max_by(F.struct("cls", "hub"), F.struct("estimate", "cls", "hub")).alias("pair")).select("pair.*")
+        more = stored(likely_pairs.select("cls", "hub").distinct().join(tried, ["cls", "hub"], "left_anti"), "pairs")
+        linked = _verified(documents, distinct, more) if not more.isEmpty() else None
+        if linked is not None and not linked.isEmpty():
+            links = links.unionAll(linked)
+            found = components(links)
+        elif best_only:
+            best_only = False
+            continue
+        if not best_only:
+            break
+        tried = tried.select("cls", "hub").unionAll(more)
+    out = stored(signed.select("doc_id", "n", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")), "rooted")
+    for table in (signed, distinct, shared):
+        discard(table)
+    return out
 
-    rooted = keys.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rooted.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "cls", "root").join(sketch, "cls")
-    cells = cells.select("key", "i", "j", "side", "cls", "root", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cells.mapInArrow(across, "cls binary, hub binary, estimate double").select("cls", "hub").distinct()
-    more = stored(more.join(first, ["cls", "hub"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = components(links.unionAll(_links(more, _texts(documents, signed, more))))
-    return stored(signed.select("doc_id", "n", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")), "rooted")
 
+def _verified(documents: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    texts = _texts(documents, distinct, pairs)
+    links = stored(_links(pairs, texts), "links")
+    discard(texts)
+    return links
 
-def _texts(documents: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, text) of one document of each class in pairs."""
+
+def _texts(documents: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, text) of one document of each class in pairs. A filter of the doc_ids keeps most other texts out of the join."""
     needed = pairs.select("cls").unionAll(pairs.select(F.col("hub").alias("cls"))).distinct()
-    chosen = signed.join(needed, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "cls")
-    named = rows.mapInArrow(_of_class, "cls binary, text string")
+    chosen = stored(distinct.join(needed, "cls", "left_semi").select("cls", F.col("least").alias("doc_id")), "chosen")
+    bits = documents.sparkSession.sparkContext.broadcast(bit_filter(chosen, F.col("doc_id"), FILTER_BITS))
+    asked = documents.select("doc_id", "text").mapInArrow(lambda b: _asked(b, bits.value), "doc_id long, text string")
+    named = asked.join(chosen, "doc_id").select("doc_id", "text", "cls").mapInArrow(_of_class, "cls binary, text string")
     nameless = documents.where("doc_id is null").select("text").mapInArrow(_classed, "cls binary, text string").join(chosen.where("doc_id is null").select("cls"), "cls", "left_semi")
     return stored(named.unionAll(nameless).dropDuplicates(["cls"]), "texts")
 
 
+def _asked(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(0).fill_null(0).to_numpy()
+        yield batch.filter(pa.array(bits[ids % len(bits)]))
+
+
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, bounds in chunks(batch):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, chunks, stored, word_hashes, word_spans
+from seamline.llm.common import ALNUM, bit_filter, chunks, stored, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,13 +138,6 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bitmap(df: DataFrame, number) -> np.ndarray:
-    """A filter of FILTER_BITS bits, which bounds what comes to the driver however many rows there are."""
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[df.select(F.pmod(number, F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
-    return bits
-
-
 def occurrences(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(t, key) for each distinct word of a text that passes the filter."""
     for batch in batches:
@@ -181,7 +174,7 @@ def revealing(documents: DataFrame, found: DataFrame, support: int = SUPPORT, di
     at_least = near.select("key", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("least_d_t"))
     possible = stored(pairs.join(at_least, "t").where(part("least_d_t") >= disclosure).drop("least_d_t"), "possible")
     terms = possible.select("t").distinct()
-    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(terms, F.col("t")))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, F.col("t"), FILTER_BITS))
     seen = documents.select("text").mapInArrow(lambda b: occurrences(b, shared.value), "t long, key binary")
     per_term = seen.join(terms, "t", "left_semi").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("d_t"))
     return stored(possible.join(per_term, "t").select("e", "t", part("d_t").alias("part")).where(F.col("part") >= disclosure), "revealing")
@@ -259,7 +252,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
     found = stored(documents.select("doc_id", "text").mapInArrow(find, FOUND), "found")
     terms = stored(term_spans(found, revealing(documents, found)), "terms")
     prefix = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
-    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(terms, prefix))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, prefix, FILTER_BITS))
     plain = documents.mapInArrow(lambda b: _sanitise(b, shared.value), documents.schema)
     columns = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
     some = documents.mapInArrow(lambda b: _passing(b, shared.value), f"{columns}, __key binary")

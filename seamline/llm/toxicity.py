@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, U64, byte_values, chunks, mix, prefix_hashes, span_hashes, word_spans
+from seamline.llm.common import ALNUM, U64, bit_filter, byte_values, chunks, mix, prefix_hashes, span_hashes, word_spans
 
 #: Symbols of the character model: a to z, any other letter, and the boundary of a word.
 OTHER, EDGE, SYMBOLS = 26, 27, 28
@@ -265,8 +265,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> S
         apart = apart.groupBy(f"m{k}").agg(F.min_by(F.struct("text", "digest", *(f"m{j}" for j in range(k + 1, MINIMA))), "digest").alias("row")).select("row.*")
     toxic = apart.select("text").mapInArrow(lambda b: row_counts(b, shared.value), "f long, n long").groupBy("f").agg(F.sum("n").alias("c")).where(F.col("c") >= SUPPORT)
     toxic = toxic.persist()
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[toxic.select(F.pmod("f", F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
+    bits = bit_filter(toxic, F.col("f"), FILTER_BITS)
     passing = sc.broadcast(bits)
     clean = texts.where("toxic <> 1").select("text").mapInArrow(lambda b: row_counts(b, shared.value, passing.value), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
     tried = toxic.count()
