@@ -342,3 +342,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, bounds in chunks(batch):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_digests(shingle_sets(data, bounds)), pa.binary())], names=[*rows.schema.names, "__cls"])
+
+
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """The same columns, and one row of each component: that of the least doc_id. Rows without words all stay.
+
+    Rows are joined with the chosen ones on doc_id and class, so that a large group of copies meets in no task.
+    """
+    rows = classes(documents).where("n > 0")
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "cls")).alias("row")).select("row.doc_id", F.col("row.cls").alias("cls"))
+    chosen = chosen.select(F.col("doc_id").alias("__doc_id"), F.col("cls").alias("__chosen"))
+    columns = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
+    has_word = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    signed = documents.where(has_word).mapInArrow(_with_class, f"{columns}, __cls binary")
+    kept = signed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__cls") == F.col("__chosen"))).dropDuplicates(["doc_id", "__cls"])
+    return kept.select(*[f"`{n}`" for n in documents.columns]).unionAll(documents.where(~has_word))

@@ -63,5 +63,11 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op7_html_tree_scoring, op8_toxicity_noisy_channel, op9_norm_bucket_topk, op10_sum_of_squares_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op7_html_tree_scoring, op8_toxicity_noisy_channel, op9_norm_bucket_topk, op10_sum_of_squares_packing, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

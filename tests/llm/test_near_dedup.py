@@ -103,3 +103,15 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).distinct().collect())
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    for docs in (documents(spark), read(spark, "documents")):
+        out = nd.deduplicate(docs)
+        assert out.columns == docs.columns
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        want = sorted({(d, c) for d, n, c, kept in brute(rows) if kept and n} | set(), key=str)
+        with_words = [(r["doc_id"], r["doc_id"]) for r in out.collect() if shingles(r["text"])]
+        assert sorted(with_words, key=str) == want
+        assert sum(not shingles(r["text"]) for r in out.collect()) == sum(not shingles(t) for _, t in rows)
+    assert nd.deduplicate(empty(spark)).count() == 0
