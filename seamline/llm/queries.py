@@ -39,6 +39,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seamline.llm.suffix_dedup import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.html_text import extract
 
@@ -69,5 +75,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op7_html_tree_scoring, op8_toxicity_noisy_channel, op9_norm_bucket_topk, op10_sum_of_squares_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_dedup, op3_pii_disclosure, op4_url_character_models, op5_benchmark_decontamination, op6_suffix_dedup, op7_html_tree_scoring, op8_toxicity_noisy_channel, op9_norm_bucket_topk, op10_sum_of_squares_packing, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
