@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; bounds a worker's memory at about 60 times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: A flat chunk and these bounds are all a hashing pass needs.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

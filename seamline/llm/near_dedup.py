@@ -27,14 +27,18 @@ SIGMAS = 5.0
 BLOCK = 2048
 #: Candidates of one class that share a verifying group.
 FAN = 512
-#: Estimate from which a class is rather paired with the bucket's least class than with the most similar one.
-SURE = 0.85
-#: Bands in common from which the least class is thought of at all.
-SHARED = 8
+#: Bands that a class and the least class of a bucket have in common where the pair is verified first.
+SHARED = 6
+#: Components are paired by their most similar classes as long as this share of the pairs, and more than FEW, turn out to be links.
+WORTH, FEW = 0.05, 100
 #: Bits of the filter that keeps texts nobody asks for out of a join.
 FILTER_BITS = 1 << 22
 
 
+#: What tells the keys of the bands apart.
+SALT = mix(np.arange(1, BANDS + 1, dtype=U64))
+
+
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each row's distinct shingles. Fewer than WORDS words: the whole sequence as one."""
     starts, ends, first = word_spans(data, bounds, NOT_SPACE)
@@ -113,13 +117,12 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     id is half of the class's digest. Two classes may share one; joins on it then bring both, and verification tells them apart.
     """
-    salt = mix(np.arange(1, BANDS + 1, dtype=U64))
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
             r = _registers(part.column(1))
             filled = (r.reshape(-1, BANDS, BAND) != EMPTY).any(2)
-            key = mix(r.view(U64).reshape(-1, BANDS) ^ salt)
+            key = mix(r.view(U64).reshape(-1, BANDS) ^ SALT)
             ids = np.frombuffer(b"".join(part.column(0).to_pylist()), ">i8")[::2].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), pa.array(ids[np.nonzero(filled)[0]])], names=["key", "id"])
 
@@ -171,27 +174,40 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
         r = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), BUCKETS)
         whole = name[1] == name[2]
         best: dict[int, tuple[float, int, int]] = {}
-        for x in range(len(held)):
-            other = roots != roots[x]
-            if not best_only:
-                other[: x + 1] = False
+        # small cells are compared at once, large ones row by row
+        step = max(1, min(len(held), 4096 // len(held)))
+        for begin in range(0, len(held), step):
+            xs = np.arange(begin, min(len(held), begin + step))
+            other = roots[xs, None] != roots
             if not whole:
-                other &= side != side[x]
-            ys = np.flatnonzero(other)
-            if not len(ys):
+                other &= side[xs, None] != side
+            if not best_only:
+                other &= xs[:, None] < np.arange(len(held))
+            x, y = np.nonzero(other)
+            if not len(x):
                 continue
-            estimate, used = estimates(r[x], r[ys])
+            x += begin
+            a, b = r[x], r[y]
+            used = ((a != EMPTY) | (b != EMPTY)).sum(1)
+            share = ((a == b) & (a != EMPTY)).sum(1) / np.maximum(used, 1)
+            estimate = np.clip((share - COLLISION) / (1 - COLLISION), 0, 1)
             fits = np.flatnonzero(likely(estimate, used))
-            if best_only:
-                if len(fits):
-                    k = fits[np.argmax(estimate[fits])]
-                    if (found := (float(estimate[k]), x, int(ys[k]))) > best.get(int(roots[x]), (-1.0, 0, 0)):
-                        best[int(roots[x])] = found
+            if not len(fits):
                 continue
-            for k in fits:
-                yield (*_pair(held[x][1], held[ys[k]][1]), held[x][2], float(estimate[k]))
-        for e, x, y in best.values():
-            yield (*_pair(held[x][1], held[y][1]), held[x][2], e)
+            x, y, estimate = x[fits], y[fits], estimate[fits]
+            if best_only:
+                for e, i, j in zip(estimate.tolist(), x.tolist(), y.tolist(), strict=True):
+                    if (e, i, j) > best.get(int(roots[i]), (-1.0, 0, 0)):
+                        best[int(roots[i])] = (e, i, j)
+            else:
+                # a pair comes out of the first of the bands that it shares alone
+                a = r[x].reshape(-1, BANDS, BAND)
+                first = ((a == r[y].reshape(-1, BANDS, BAND)).all(2) & (a != EMPTY).any(2)).argmax(1)
+                here = mix(r[x].view(U64)[np.arange(len(x)), first] ^ SALT[first]).view(np.int64) == name[0]
+                for e, i, j in zip(estimate[here].tolist(), x[here].tolist(), y[here].tolist(), strict=True):
+                    yield (*_pair(held[i][1], held[j][1]), held[i][2], e)
+        for e, i, j in best.values():
+            yield (*_pair(held[i][1], held[j][1]), held[i][2], e)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out := list(pairs()):
@@ -226,16 +242,11 @@ def _id(column: str):
 
 
 def _promising(distinct: DataFrame, shared: DataFrame) -> DataFrame:
-    """One likely pair (cls, hub) of each class: with the least class of its buckets if that is surely similar, else with the most similar."""
-    counted = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
-    two = counted.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("a"), F.min(F.when(F.col("n") >= SHARED, F.col("hub"))).alias("b"))
-    pairs = two.select("id", F.explode(F.array_distinct(F.array("a", F.coalesce("b", "a")))).alias("hub_id"))
+    """Likely pairs (cls, hub) of a class and the least class of a bucket: those with several bands in common."""
+    pairs = shared.where("id <> hub").groupBy("id", F.col("hub").alias("hub_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
     sketch = distinct.select("id", "cls", "registers")
     joined = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("hub_id"), F.col("cls").alias("hub"), F.col("registers").alias("hub_registers")), "hub_id")
-    likely_pairs = joined.where("cls <> hub").select("cls", "hub", "registers", "hub_registers").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double")
-    sure = F.col("estimate") >= SURE
-    order = F.struct(sure, F.when(sure, -_id("hub")).otherwise(F.lit(None)), F.col("estimate"), F.col("hub"))
-    return likely_pairs.groupBy("cls").agg(F.max_by("hub", order).alias("hub"))
+    return joined.where("cls <> hub").select("cls", "hub", "registers", "hub_registers").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double").select("cls", "hub")
 
 
 def _cells(distinct: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -256,10 +267,11 @@ def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, n, cls, root): set size, class of equal shingle sets, and the least class of its component, one row per document, stored.
 
     1. Documents are signed; equal sets form a class, represented by its least doc_id.
-    2. In every band's bucket each class is paired with the bucket's least class, and each class's
-       most promising pair is verified on the full sets. Links so far give components.
+    2. In every band's bucket each class is paired with the bucket's least class; pairs that share
+       several bands and are likely by their sketches are verified on the full sets. Links so far
+       give components.
     3. In buckets that still hold several components, the most similar pair of each component is
-       verified, as long as that links any.
+       verified, as long as that links many.
     4. At last all likely pairs of unlike components in a bucket are verified. So every pair that
        shares a band is in one component, or ruled out by its sketches, or verified.
     """
@@ -275,17 +287,18 @@ def classes(documents: DataFrame) -> DataFrame:
     while True:
         likely_pairs = _cells(distinct, shared, found).mapInArrow(lambda b, o=best_only: across(b, o), PAIRS)
         if best_only:
-            likely_pairs = likely_pairs.groupBy("root").agg(F.max_by(F.struct("cls", "hub"), F.struct("estimate", "cls", "hub")).alias("pair")).select("pair.*")
-        more = stored(likely_pairs.select("cls", "hub").distinct().join(tried, ["cls", "hub"], "left_anti"), "pairs")
-        linked = _verified(documents, distinct, more) if not more.isEmpty() else None
-        if linked is not None and not linked.isEmpty():
-            links = links.unionAll(linked)
-            found = components(links)
-        elif best_only:
-            best_only = False
-            continue
+            likely_pairs = likely_pairs.groupBy("root").agg(F.max_by(F.struct("cls", "hub"), F.struct("estimate", "cls", "hub")).alias("pair")).select("pair.*").distinct()
+        more = stored(likely_pairs.select("cls", "hub").join(tried, ["cls", "hub"], "left_anti"), "pairs")
+        n_more = more.count()
+        n_linked = 0
+        if n_more:
+            linked = _verified(documents, distinct, more)
+            if n_linked := linked.count():
+                links = links.unionAll(linked)
+                found = components(links)
         if not best_only:
             break
+        best_only = n_linked > max(FEW, WORTH * n_more)
         tried = tried.select("cls", "hub").unionAll(more)
     out = stored(signed.select("doc_id", "n", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")), "rooted")
     for table in (signed, distinct, shared):
