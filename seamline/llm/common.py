@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,14 +32,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches than Spark's default, where nobody has set another number: texts are long, and each worker holds a batch or two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+    return spark
+
+
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    tuned(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing reads any more."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession

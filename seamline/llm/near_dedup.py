@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import NOT_SPACE, U64, bit_filter, chunks, discard, mix, prefix_hashes, span_hashes, stored, word_hashes, word_spans
+from seamline.llm.common import NOT_SPACE, U64, bit_filter, chunks, discard, mix, prefix_hashes, release, span_hashes, stored, word_hashes, word_spans
 from seamline.llm.components import components
 
 #: Words of a shingle, and the similarity of a link in hundredths.
@@ -17,12 +17,16 @@ WORDS, SIMILAR = 5, 75
 #: Buckets of a sketch and registers of a band. A pair at 0.75 shares none of the 40 bands with probability (1 - 0.75^4)^40 < 1e-6.
 BUCKETS, BAND = 160, 4
 BANDS = BUCKETS // BAND
+#: Sets of up to MOST_SMALL shingles have a register for each of BUCKETS hash functions, sets of LEAST_LARGE and more one for each part of
+#: a single hash; those between have both, so that any two similar sets have one kind in common.
+LEAST_LARGE, MOST_SMALL = 96, 128
 #: A register: 6 bits count leading zeros, 10 bits follow the leading one. EMPTY is no such value.
 MANTISSA, EMPTY = 10, 0xFFFF
 #: Two unlike registers are equal by chance: sum over k of 2^-2k / 2^MANTISSA.
 COLLISION = (1 / 3) / (1 << MANTISSA)
 #: Pairs whose estimate lies this many standard errors under the similarity aren't verified.
 SIGMAS = 5.0
+LIKELY = SIMILAR / 100 - SIGMAS * (SIMILAR / 100 * (1 - SIMILAR / 100) / BUCKETS) ** 0.5
 #: Rows of a bucket that are compared at once; larger buckets are compared block by block.
 BLOCK = 2048
 #: Candidates of one class that share a verifying group.
@@ -36,7 +40,10 @@ FILTER_BITS = 1 << 22
 
 
 #: What tells the keys of the bands apart.
-SALT = mix(np.arange(1, BANDS + 1, dtype=U64))
+SALT = mix(np.arange(1, 2 * BANDS + 1, dtype=U64)).reshape(2, BANDS)
+SEEDS = mix(np.arange(1, BUCKETS + 1, dtype=U64) * U64(0xBF58476D1CE4E5B9))
+#: Where an empty register begins to look for a full one.
+FROM = (mix(np.arange(1, BUCKETS + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) % U64(BUCKETS)).astype(np.int64)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -52,19 +59,25 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [none if not k else short[r : r + 1] if k < WORDS else np.unique(full[a : a + k - WORDS + 1]) for r, (a, k) in enumerate(zip(first[:-1].tolist(), n.tolist(), strict=True))]
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BUCKETS registers for each set: the compressed least hash of the bucket's shingles."""
-    out = np.full((len(sets), BUCKETS), EMPTY, np.uint16)
-    sizes = np.array([len(s) for s in sets])
-    if sizes.sum():
-        h = np.concatenate(sets)
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of BUCKETS registers for small and for large sets: compressed least hashes. Rows of the kind that a set doesn't have are EMPTY."""
+    small, large = (np.full((len(sets), BUCKETS), EMPTY, np.uint16) for _ in range(2))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    rows = np.flatnonzero(sizes >= LEAST_LARGE)
+    if len(rows):
+        h = np.concatenate([sets[r] for r in rows])
         # sorted hashes are sorted by bucket as well
         bucket = ((h >> U64(32)) * U64(BUCKETS)) >> U64(32)
-        group = np.repeat(np.arange(len(sets)), sizes) * BUCKETS + bucket.astype(np.int64)
+        group = np.repeat(rows, sizes[rows]) * BUCKETS + bucket.astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.minimum.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), begin)
-        out.reshape(-1)[group[begin]] = compress(least)
-    return out
+        large.reshape(-1)[group[begin]] = compress(np.minimum.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), begin))
+    rows = np.flatnonzero((sizes > 0) & (sizes <= MOST_SMALL))
+    for a in range(0, len(rows), 64):
+        part = rows[a : a + 64]
+        h = np.concatenate([sets[r] for r in part])
+        begin = np.cumsum(np.concatenate([[0], sizes[part][:-1]]))
+        small[part] = compress(np.minimum.reduceat(mix(h[:, None] ^ SEEDS), begin, axis=0))
+    return small, densify(large)
 
 
 def compress(x: np.ndarray) -> np.ndarray:
@@ -75,17 +88,16 @@ def compress(x: np.ndarray) -> np.ndarray:
     return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (shifted >> U64(64 - MANTISSA)).astype(np.uint16)
 
 
-def estimates(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates between a sketch and others, and the buckets they rest on."""
-    used = ((many != EMPTY) | (one != EMPTY)).sum(1)
-    same = ((many == one) & (many != EMPTY)).sum(1)
-    share = same / np.maximum(used, 1)
-    return np.clip((share - COLLISION) / (1 - COLLISION), 0, 1), used
-
+def estimates(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimates of pairs of sketches (small, large) row by row; and whether the pair may be similar.
 
-def likely(estimate: np.ndarray, used: np.ndarray) -> np.ndarray:
-    s = SIMILAR / 100
-    return estimate >= s - SIGMAS * np.sqrt(s * (1 - s) / np.maximum(used, 1))
+    Pairs are compared by the kind that both have, pairs without one are no candidates.
+    """
+    has_small = (a[0][:, 0] != EMPTY) & (b[0][:, 0] != EMPTY)
+    has_large = (a[1][:, 0] != EMPTY) & (b[1][:, 0] != EMPTY)
+    x, y = (np.where(has_small[:, None], c[0], c[1]) for c in (a, b))
+    estimate = np.clip(((x == y).mean(1) - COLLISION) / (1 - COLLISION), 0, 1)
+    return estimate, (has_small | has_large) & (estimate >= LIKELY)
 
 
 def _digests(sets: list[np.ndarray]) -> list[bytes]:
@@ -93,7 +105,7 @@ def _digests(sets: list[np.ndarray]) -> list[bytes]:
     return [np.array([mix(s).sum(dtype=U64), mix(s ^ U64(0xC2B2AE3D27D4EB4F)).sum(dtype=U64)], ">u8").tobytes() for s in sets]
 
 
-SIGNED = "doc_id long, n long, cls binary, registers binary"
+SIGNED = "doc_id long, n long, cls binary, small binary, large binary"
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,41 +113,58 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, bounds in chunks(batch):
             sets = shingle_sets(data, bounds)
-            registers = sketches(sets)
+            registers = [pa.array([r.tobytes() if r[0] != EMPTY else None for r in kind], pa.binary()) for kind in sketches(sets)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_digests(sets), pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())],
-                names=["doc_id", "n", "cls", "registers"],
+                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_digests(sets), pa.binary()), *registers],
+                names=["doc_id", "n", "cls", "small", "large"],
             )
 
 
-def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
+def densify(r: np.ndarray) -> np.ndarray:
+    """Fill empty registers from full ones: each takes the next full one from a place of its own on."""
+    full = r != EMPTY
+    at = np.where(full, np.arange(BUCKETS), 2 * BUCKETS)
+    following = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1]
+    following = np.where(following < BUCKETS, following, at.min(1, keepdims=True))
+    borrowed = np.take_along_axis(r, np.minimum(following[:, FROM], BUCKETS - 1), 1)
+    return np.where(full, r, borrowed)
+
+
+NO_SKETCH = np.full(BUCKETS, EMPTY, np.uint16).tobytes()
+
+
+def _registers(values: list) -> np.ndarray:
+    return np.frombuffer(b"".join(v or NO_SKETCH for v in values), np.uint16).reshape(len(values), BUCKETS)
+
+
+def _keys(r: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of the bands of sketches of a kind."""
+    return mix(r.view(U64).reshape(-1, BANDS) ^ SALT[kind])
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns cls and registers in; a row (key, id) for each band that has a shingle out.
+    """Columns cls and sketches in; a row (key, id) for each band out.
 
     id is half of the class's digest. Two classes may share one; joins on it then bring both, and verification tells them apart.
     """
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
-            r = _registers(part.column(1))
-            filled = (r.reshape(-1, BANDS, BAND) != EMPTY).any(2)
-            key = mix(r.view(U64).reshape(-1, BANDS) ^ SALT)
             ids = np.frombuffer(b"".join(part.column(0).to_pylist()), ">i8")[::2].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key[filled].view(np.int64)), pa.array(ids[np.nonzero(filled)[0]])], names=["key", "id"])
+            for kind in (0, 1):
+                r = _registers(part.column(1 + kind).to_pylist())
+                has = r[:, 0] != EMPTY
+                if has.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(np.ascontiguousarray(r[has]), kind).reshape(-1).view(np.int64)), pa.array(np.repeat(ids[has], BANDS))], names=["key", "id"])
 
 
 def estimate_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns cls, hub and both sketches in; the likely pairs with their estimates out."""
+    """Columns cls, hub and the sketches of both in; the likely pairs with their estimates out."""
     for batch in batches:
-        a, b = _registers(batch.column(2)), _registers(batch.column(3))
-        used = ((a != EMPTY) | (b != EMPTY)).sum(1)
-        share = ((a == b) & (a != EMPTY)).sum(1) / np.maximum(used, 1)
-        estimate = np.clip((share - COLLISION) / (1 - COLLISION), 0, 1)
-        keep = np.flatnonzero(likely(estimate, used))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(estimate[keep])], names=["cls", "hub", "estimate"])
+        a, b = (tuple(_registers(batch.column(i).to_pylist()) for i in pair) for pair in ((2, 3), (4, 5)))
+        estimate, fits = estimates(a, b)
+        keep = pa.array(np.flatnonzero(fits))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(estimate[fits])], names=["cls", "hub", "estimate"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +186,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, cls, root, registers) sorted by (key, i, j): likely pairs of a cell whose roots differ.
+    """Rows (key, i, j, side, cls, root, small, large) sorted by (key, i, j): likely pairs of a cell whose roots differ.
 
     A cell holds the blocks i and j of a bucket; side tells which. No cell has more than about 2 * BLOCK
     rows. With best_only each root of a cell gets its most similar pair alone.
@@ -171,7 +200,7 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
         if not roots.any():
             return
         side = np.array([h[0] for h in held])
-        r = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), BUCKETS)
+        sketch = tuple(_registers([h[i] for h in held]) for i in (3, 4))
         whole = name[1] == name[2]
         best: dict[int, tuple[float, int, int]] = {}
         # small cells are compared at once, large ones row by row
@@ -187,11 +216,9 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
             if not len(x):
                 continue
             x += begin
-            a, b = r[x], r[y]
-            used = ((a != EMPTY) | (b != EMPTY)).sum(1)
-            share = ((a == b) & (a != EMPTY)).sum(1) / np.maximum(used, 1)
-            estimate = np.clip((share - COLLISION) / (1 - COLLISION), 0, 1)
-            fits = np.flatnonzero(likely(estimate, used))
+            a, b = ((sketch[0][z], sketch[1][z]) for z in (x, y))
+            estimate, fits = estimates(a, b)
+            fits = np.flatnonzero(fits)
             if not len(fits):
                 continue
             x, y, estimate = x[fits], y[fits], estimate[fits]
@@ -201,9 +228,9 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
                         best[int(roots[i])] = (e, i, j)
             else:
                 # a pair comes out of the first of the bands that it shares alone
-                a = r[x].reshape(-1, BANDS, BAND)
-                first = ((a == r[y].reshape(-1, BANDS, BAND)).all(2) & (a != EMPTY).any(2)).argmax(1)
-                here = mix(r[x].view(U64)[np.arange(len(x)), first] ^ SALT[first]).view(np.int64) == name[0]
+                equal = np.concatenate([(sketch[k][x] == sketch[k][y]).reshape(-1, BANDS, BAND).all(2) & (sketch[k][x, :1] != EMPTY) for k in (0, 1)], 1)
+                keys = np.concatenate([_keys(sketch[k][x], k) for k in (0, 1)], 1)
+                here = keys[np.arange(len(x)), equal.argmax(1)].view(np.int64) == name[0]
                 for e, i, j in zip(estimate[here].tolist(), x[here].tolist(), y[here].tolist(), strict=True):
                     yield (*_pair(held[i][1], held[j][1]), held[i][2], e)
         for e, i, j in best.values():
@@ -244,20 +271,20 @@ def _id(column: str):
 def _promising(distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """Likely pairs (cls, hub) of a class and the least class of a bucket: those with several bands in common."""
     pairs = shared.where("id <> hub").groupBy("id", F.col("hub").alias("hub_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
-    sketch = distinct.select("id", "cls", "registers")
-    joined = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("hub_id"), F.col("cls").alias("hub"), F.col("registers").alias("hub_registers")), "hub_id")
-    return joined.where("cls <> hub").select("cls", "hub", "registers", "hub_registers").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double").select("cls", "hub")
+    sketch = distinct.select("id", "cls", "small", "large")
+    joined = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("hub_id"), F.col("cls").alias("hub"), F.col("small").alias("hub_small"), F.col("large").alias("hub_large")), "hub_id")
+    return joined.where("cls <> hub").select("cls", "hub", "small", "large", "hub_small", "hub_large").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double").select("cls", "hub")
 
 
 def _cells(distinct: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components, dealt to cells of two blocks."""
-    info = distinct.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "cls", "registers", F.coalesce("root", "cls").alias("root")).withColumn("mark", F.xxhash64("root"))
+    info = distinct.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "cls", "small", "large", F.coalesce("root", "cls").alias("root")).withColumn("mark", F.xxhash64("root"))
     rooted = shared.select("key", "id").join(info.select("id", "mark"), "id").select("key", "id", "mark")
     mixed = rooted.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = shared.select("key", "id").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "id").join(info, "id")
-    return cells.select("key", "i", "j", "side", "cls", "root", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.select("key", "i", "j", "side", "cls", "root", "small", "large").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 PAIRS = "cls binary, hub binary, root binary, estimate double"
@@ -276,11 +303,13 @@ def classes(documents: DataFrame) -> DataFrame:
        shares a band is in one component, or ruled out by its sketches, or verified.
     """
     signed = stored(documents.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
-    distinct = stored(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers")).withColumn("id", _id("cls")), "classes")
-    keys = distinct.select("cls", "registers").mapInArrow(bands, "key long, id long")
+    distinct = stored(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("small").alias("small"), F.first("large").alias("large")).withColumn("id", _id("cls")), "classes")
+    keys = distinct.select("cls", "small", "large").mapInArrow(bands, "key long, id long")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     shared = stored(keys.join(hubs, "key"), "shared")
+    release(documents.sparkSession)
     tried = stored(_promising(distinct, shared), "pairs")
+    release(documents.sparkSession)
     links = _verified(documents, distinct, tried)
     found = components(links)
     best_only = True
@@ -290,6 +319,7 @@ def classes(documents: DataFrame) -> DataFrame:
             likely_pairs = likely_pairs.groupBy("root").agg(F.max_by(F.struct("cls", "hub"), F.struct("estimate", "cls", "hub")).alias("pair")).select("pair.*").distinct()
         more = stored(likely_pairs.select("cls", "hub").join(tried, ["cls", "hub"], "left_anti"), "pairs")
         n_more = more.count()
+        release(documents.sparkSession)
         n_linked = 0
         if n_more:
             linked = _verified(documents, distinct, more)
@@ -310,6 +340,7 @@ def _verified(documents: DataFrame, distinct: DataFrame, pairs: DataFrame) -> Da
     texts = _texts(documents, distinct, pairs)
     links = stored(_links(pairs, texts), "links")
     discard(texts)
+    release(documents.sparkSession)
     return links
 
 

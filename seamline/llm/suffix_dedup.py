@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import U64, bit_filter, byte_values, chunks, discard, prefix_hashes, span_hashes, stored
+from seamline.llm.common import U64, bit_filter, byte_values, chunks, discard, prefix_hashes, release, span_hashes, stored
 from seamline.llm.induced_sort import DEPTH, MEMORY, sorted_suffixes
 
-LENGTH, GRAM = DEPTH, 16
+LENGTH, GRAM = DEPTH, 24
+#: Rows of one gram that are looked at together in any case.
+HELD = 1 << 16
 #: Bits of a position inside a chunk that stand behind a gram's hash when least grams are searched.
 PLACE = 22
 #: Text of records that is sorted at once, in bytes; a gram's records stay together.
@@ -46,6 +48,7 @@ def _records(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return none.astype(U64), none, none, none, prefix
     out = []
+    rows_at = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     # a chunk that is too long for PLACE is taken in overlapping parts
     for begin in range(0, len(data) - LENGTH + 1, (1 << PLACE) - LENGTH):
         end = min(len(data), begin + (1 << PLACE) - 1)
@@ -59,7 +62,7 @@ def _records(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
             least = np.minimum(least[: len(least) - (window - size)], least[window - size :])
         anchor = (least & U64((1 << PLACE) - 1)).astype(np.int64)
         start = np.arange(len(anchor)) + begin
-        row = np.searchsorted(bounds, start, "right") - 1
+        row = rows_at[begin : begin + len(anchor)]
         inside = np.flatnonzero(start + LENGTH <= bounds[row + 1])
         if begin + (1 << PLACE) - LENGTH < len(data) - LENGTH + 1:
             inside = inside[start[inside] < begin + (1 << PLACE) - LENGTH]
@@ -137,43 +140,116 @@ def merged_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array([b.tobytes() for b in out.values()], pa.binary())], names=["block", "bits"])
 
 
-OCCURRENCES = "gram long, digest long, doc long, uid long, start int, n int, content binary"
+OCCURRENCES = "gram long, digest long, doc long, uid long, start int, n int"
+
+
+def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
 def occurrences(batches: Iterator[pa.RecordBatch], bits: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
-    """Records whose gram passes the filter. Of records of one content, the first of a batch carries it, with the least document; it comes as a row of its own."""
+    """Records whose gram passes the filter: start and number of strings.
+
+    Where a batch holds a record's content in a smaller document too, the record is covered already
+    and comes with a null gram; so a content that very many documents share is one row a batch.
+    """
     for batch in batches:
-        seen: dict[tuple[int, int], list] = {}
+        held = []
         for rows, data, bounds in chunks(batch):
             grams, row, first, last, prefix = _records(data, bounds)
             at = _bit(grams, blocks)
             hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             grams, row, first, last = grams[hit], row[hit], first[hit], last[hit]
-            if not len(grams):
-                continue
-            doc = rows.column(0).fill_null(NO_ID).to_numpy()[row]
-            uid = span_hashes(prefix, bounds[:-1], bounds[1:])[row].view(np.int64)
-            gram, digest, n = grams.view(np.int64), span_hashes(prefix, first, last + LENGTH).view(np.int64), last - first + 1
-            raw = data.tobytes()
+            if len(grams):
+                doc = rows.column(0).fill_null(NO_ID).to_numpy()[row]
+                uid = span_hashes(prefix, bounds[:-1], bounds[1:])[row].view(np.int64)
+                held.append((grams.view(np.int64), span_hashes(prefix, first, last + LENGTH).view(np.int64), doc, uid, (first - bounds[row]).astype(np.int32), (last - first + 1).astype(np.int32)))
+        if held:
+            gram, digest, doc, uid, start, n = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort([doc, digest, gram])
-            new = np.ones(len(order), bool)
-            new[1:] = (gram[order][1:] != gram[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-            for i in order[new].tolist():
-                key, d = (int(gram[i]), int(digest[i])), int(doc[i])
-                if key not in seen:
-                    seen[key] = [d, int(n[i]), raw[first[i] : last[i] + LENGTH]]
-                elif d < seen[key][0]:
-                    seen[key][0] = d
-            columns = [gram, digest, doc, uid, (first - bounds[row]).astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(gram), pa.binary())], names=["gram", "digest", "doc", "uid", "start", "n", "content"])
-        if seen:
-            keys, values = list(seen), list(seen.values())
-            zero = np.zeros(len(keys), np.int64)
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array(zero), pa.array(zero.astype(np.int32)), pa.array([v[1] for v in values], pa.int32()), pa.array([v[2] for v in values], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "digest", "doc", "uid", "start", "n", "content"])
-
-
-ANSWERS = "gram long, digest long, first int, last int, least long"
+            gram, digest, doc, uid, start, n = (c[order] for c in (gram, digest, doc, uid, start, n))
+            run = np.flatnonzero(_first_of_runs(gram, digest))
+            least = np.repeat(doc[run], np.diff(np.append(run, len(doc))))
+            yield pa.RecordBatch.from_arrays([pa.array(gram, mask=doc > least), *map(pa.array, (digest, doc, uid, start, n))], names=["gram", "digest", "doc", "uid", "start", "n"])
+
+
+def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, digest, doc, uid, start, n) sorted so. Out come, with a null gram, records that a smaller document has as a whole; and, of grams with unlike contents, the records of each content's least document."""
+
+    def table(columns: list, gram_null: np.ndarray) -> pa.RecordBatch:
+        gram, digest, doc, uid, start, n = columns
+        return pa.RecordBatch.from_arrays([pa.array(gram, mask=gram_null), *map(pa.array, (digest, doc, uid, start, n))], names=["gram", "digest", "doc", "uid", "start", "n"])
+
+    rest: list | None = None
+    least_of: tuple[int, int, int] | None = None
+    several_of: int | None = None
+    for batch in _with_end(batches):
+        columns = rest
+        if batch is not None:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        if columns is None or not len(columns[0]):
+            continue
+        gram, digest, doc = columns[:3]
+        if batch is None:
+            cut = len(gram)
+        else:
+            # the last content may go on in the next batch: of it keep what is needed to tell
+            cut = int(np.searchsorted(gram, gram[-1]))
+            if cut == 0 and len(gram) < 4 * HELD:
+                rest = columns
+                continue
+            if cut == 0:
+                cut = len(gram)
+        part, rest = [c[:cut] for c in columns], [c[cut:] for c in columns] if cut < len(gram) else None
+        gram, digest, doc = part[:3]
+        run = np.flatnonzero(_first_of_runs(gram, digest))
+        sizes = np.diff(np.append(run, len(gram)))
+        first = doc[run].copy()
+        several = np.zeros(len(run), bool)
+        several[1:] |= gram[run[1:]] == gram[run[:-1]]
+        several[:-1] |= gram[run[1:]] == gram[run[:-1]]
+        if least_of is not None and gram[0] == least_of[0]:
+            if digest[0] == least_of[1]:
+                first[0] = min(first[0], least_of[2])
+            several |= gram[run] == gram[0]
+        if cut == len(gram) and batch is not None:
+            # a gram of very many rows goes on: its contents count as several
+            several |= gram[run] == gram[-1]
+            least_of = (int(gram[-1]), int(digest[-1]), int(first[-1]))
+        least, many = np.repeat(first, sizes), np.repeat(several, sizes)
+        over = doc > least
+        keep = over | many
+        yield table([c[keep] for c in part], over[keep])
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+CONTENTS = "gram long, digest long, doc long, uid long, start int, n int, content binary"
+
+
+def contents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns text and records (gram, digest, doc, uid, start, n) of it in; the records with their bytes out."""
+    for batch in batches:
+        for rows, data, bounds in chunks(batch):
+            raw, out = data.tobytes(), []
+            for r, records in enumerate(rows.column(rows.schema.get_field_index("records")).to_pylist()):
+                begin = int(bounds[r])
+                for x in records:
+                    a = begin + x["start"]
+                    out.append((x["gram"], x["digest"], x["doc"], x["uid"], x["start"], x["n"], raw[a : a + x["n"] - 1 + LENGTH]))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "digest", "doc", "uid", "start", "n", "content"])
+
+
+COVERS = "doc long, uid long, start int, end int"
 
 
 def least_documents(contents: list[bytes], starts: list[int], docs: list[int], memory: int = MEMORY) -> list[np.ndarray]:
@@ -204,59 +280,56 @@ def least_documents(contents: list[bytes], starts: list[int], docs: list[int], m
     return [least[b : b + n] for b, n in zip(begin, sizes, strict=True)]
 
 
-def answers(batches: Iterator[pa.RecordBatch], shard: int, memory: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, digest, n, doc, content) sorted by gram and digest: for runs of each content's strings the least document that holds them."""
-    out: list[tuple[int, int, int, int, int]] = []
-    group: dict[int, list] = {}
-    waiting: list[tuple[int, int, list]] = []
-    size, name = 0, None
+def shared(contents: list[bytes]) -> np.ndarray:
+    """Contents that may have a string in common with another, by hashes of their strings."""
+    sizes = np.array([len(c) for c in contents])
+    data = np.frombuffer(b"".join(contents), np.uint8)
+    begin = np.cumsum(np.concatenate([[0], sizes]))[:-1]
+    n = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(contents)), n)
+    at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    hashes = span_hashes(prefix_hashes(_VALUES[data]), at, at + LENGTH)
+    order = np.argsort(hashes)
+    h, o = hashes[order], owner[order]
+    equal = h[1:] == h[:-1]
+    out = np.zeros(len(contents), bool)
+    out[o[1:][equal]] = out[o[:-1][equal]] = True
+    return out
 
-    def batch_of(rows: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "digest", "first", "last", "least"])
 
-    def end_group() -> None:
-        nonlocal size
-        if len(group) == 1:
-            (digest, (n, doc, _)), = group.items()
-            out.append((name, digest, 0, n - 1, doc))
-        else:
-            for digest, row in group.items():
-                waiting.append((name, digest, row))
-                size += len(row[2])
-        group.clear()
+def answers(batches: Iterator[pa.RecordBatch], shard: int, memory: int) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, digest, doc, uid, start, n, content) sorted by gram: runs of their strings that a smaller document holds, as covers of bytes."""
+    waiting: list[tuple] = []
+    size, name = 0, None
 
-    def sort() -> None:
+    def sort() -> Iterator[pa.RecordBatch]:
         nonlocal size
-        if waiting:
-            found = least_documents([r[2] for _, _, r in waiting], [r[0] for _, _, r in waiting], [r[1] for _, _, r in waiting], memory)
-            for (gram, digest, _), least in zip(waiting, found, strict=True):
-                first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                last = np.append(first[1:], len(least)) - 1
-                out.extend((gram, digest, a, b, d) for a, b, d in zip(first.tolist(), last.tolist(), least[first].tolist(), strict=True))
-            waiting.clear()
-            size = 0
+        if len(waiting) > 1:
+            rows = [w for w, s in zip(waiting, shared([w[6] for w in waiting]), strict=True) if s]
+            out = []
+            if rows:
+                found = least_documents([r[6] for r in rows], [r[5] for r in rows], [r[2] for r in rows], memory)
+                for (_, _, doc, uid, start, _, _), least in zip(rows, found, strict=True):
+                    gone = np.flatnonzero(least < doc)
+                    if len(gone):
+                        first = gone[np.concatenate([[True], np.diff(gone) > 1])]
+                        last = gone[np.concatenate([np.diff(gone) > 1, [True]])]
+                        out += [(doc, uid, start + int(a), start + int(b) + LENGTH) for a, b in zip(first, last, strict=True)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "uid", "start", "end"])
+        waiting.clear()
+        size = 0
 
     for batch in batches:
-        for gram, digest, n, doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if gram != name:
-                if group:
-                    end_group()
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != name:
                 if size >= shard:
-                    sort()
-                if len(out) >= 8192:
-                    yield batch_of(out)
-                    out = []
-                name = gram
-            if digest in group:
-                group[digest][1] = min(group[digest][1], doc)
-            else:
-                group[digest] = [n, doc, content]
-    if group:
-        end_group()
-    sort()
-    if out:
-        yield batch_of(out)
+                    yield from sort()
+                name = row[0]
+            waiting.append(row)
+            size += len(row[6])
+    yield from sort()
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
@@ -345,24 +418,28 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
         blocks *= 2
     per_block = max(1, -(-total // (PART * blocks)))
     lists = searched.mapInArrow(lambda b: gram_lists(b, blocks, per_block), "part int, grams binary")
-    found = lists.repartition(blocks * per_block, "part").sortWithinPartitions("part").mapInArrow(lambda b: repeated_bits(b, blocks, per_block), "block int, bits binary")
+    twice = lists.repartition(blocks * per_block, "part").sortWithinPartitions("part").mapInArrow(lambda b: repeated_bits(b, blocks, per_block), "block int, bits binary")
     bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
-    for block, packed in found.repartition("block").mapInArrow(merged_bits, "block int, bits binary").toLocalIterator():
+    for block, packed in twice.repartition("block").mapInArrow(merged_bits, "block int, bits binary").toLocalIterator():
         bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(packed, np.uint8)
+    release(spark)
     passing = sc.broadcast(bits)
-    records = stored(searched.mapInArrow(lambda b: occurrences(b, passing.value, blocks), OCCURRENCES), "records")
-    shards = max(1, spark.sparkContext.defaultParallelism, int(total // PART))
-    contents = records.where("content is not null").select("gram", "digest", "n", "doc", "content").repartition(shards, "gram").sortWithinPartitions("gram", "digest")
-    least = contents.mapInArrow(lambda b: answers(b, shard, memory), ANSWERS)
-    places = records.where("content is null").select("gram", "digest", "doc", "uid", "start")
-    covered = places.join(least, ["gram", "digest"]).where("least < doc")
-    covers = stored(
-        covered.select("doc", "uid", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("end")).alias("cover"))
-        .groupBy("doc", "uid")
-        .agg(F.collect_list("cover").alias("covers")),
-        "covers",
-    )
+    found = stored(searched.mapInArrow(lambda b: occurrences(b, passing.value, blocks), OCCURRENCES), "records")
+    shards = max(blocks, sc.defaultParallelism, int(total // PART))
+    dealt = found.where("gram is not null").repartition(shards, "gram").sortWithinPartitions("gram", "digest", "doc")
+    records = stored(dealt.mapInArrow(resolve, OCCURRENCES), "resolved")
+    release(spark)
+    unlike = records.where("gram is not null").groupBy("doc", "uid").agg(F.collect_list(F.struct("gram", "digest", "doc", "uid", "start", "n")).alias("records"))
+    unlike_bits = sc.broadcast(bit_filter(records.where("gram is not null").select("uid").distinct(), F.col("uid"), KEY_BITS))
+    asked = searched.mapInArrow(lambda b: _with_uid(b, unlike_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
+    contents = asked.dropDuplicates(["doc", "uid"]).join(unlike, ["doc", "uid"]).select("text", "records").mapInArrow(contents_of, CONTENTS)
+    contents = contents.repartition(shards, "gram").sortWithinPartitions("gram", "digest")
+    partly = contents.mapInArrow(lambda b: answers(b, shard, memory), COVERS)
+    wholly = found.unionAll(records).where("gram is null").select("doc", "uid", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
+    covers = stored(partly.unionAll(wholly).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "covers")
+    discard(found)
     discard(records)
+    release(spark)
     cover_bits = sc.broadcast(bit_filter(covers, F.col("uid"), KEY_BITS))
     plain = searched.mapInArrow(lambda b: _with_uid(b, cover_bits.value, False), "doc_id long, text string, uid long").withColumn("covers", F.lit(None).cast("array<struct<start:int,end:int>>"))
     some = searched.mapInArrow(lambda b: _with_uid(b, cover_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)

@@ -81,16 +81,28 @@ def test_borderline_pairs_chains_and_large_groups(spark, monkeypatch):
     check(documents(spark, rows))
 
 
+def pair(rng, inter, a, b):
+    x = rng.integers(0, 2**64, inter + a + b, dtype=np.uint64)
+    return np.unique(x[: inter + a]), np.unique(np.concatenate([x[:inter], x[inter + a :]]))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
-    for share in (0.3, 0.75, 0.95):
-        a = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
-        n = int(len(a) * share)
-        b = np.unique(np.concatenate([a[rng.permutation(len(a))[:n]], rng.integers(0, 2**63, len(a) - n).astype(np.uint64)]))
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        s = nd.sketches([a * np.uint64(3), b * np.uint64(3)])
-        estimate, used = nd.estimates(s[0], s[1:])
-        assert abs(estimate[0] - true) < 0.15 and used[0] == nd.BUCKETS
+    for inter, a, b in [(3000, 1000, 500), (60, 20, 10), (90, 10, 20), (400, 1000, 900), (3, 1, 0)]:
+        sets = pair(rng, inter, a, b)
+        small, large = nd.sketches(list(sets))
+        estimate, _ = nd.estimates((small[:1], large[:1]), (small[1:], large[1:]))
+        assert abs(estimate[0] - inter / (inter + a + b)) < 0.17
+
+
+def test_no_borderline_pair_is_missed():
+    rng = np.random.default_rng(4)
+    for inter, a, b in [(3, 1, 0), (6, 1, 1), (9, 1, 2), (30, 5, 5), (72, 12, 12), (97, 0, 32), (96, 32, 0), (150, 25, 25)]:
+        sets = [s for _ in range(400) for s in pair(rng, inter, a, b)]
+        small, large = nd.sketches(sets)
+        bands = sum(((r[::2] == r[1::2]).reshape(-1, nd.BANDS, nd.BAND).all(2) & (r[::2, :1] != nd.EMPTY)).sum(1) for r in (small, large))
+        _, fits = nd.estimates((small[::2], large[::2]), (small[1::2], large[1::2]))
+        assert bands.min() >= 1 and fits.all()
 
 
 def test_registers_hold_zeros_and_mantissa():
