@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.common import stored
+from seamline.llm.common import stored, tuned
 from seamline.llm.decontamination import decontaminate
 from seamline.llm.near_dedup import deduplicate
 from seamline.llm.packing import pack
@@ -18,7 +18,7 @@ from seamline.llm.toxicity import keep_clean
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    tuned(spark)
     return deduplicate(docs)
 
 
@@ -43,11 +44,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and terms that reveal it, are taken out of the texts."""
+    tuned(spark)
     return _counted(sanitise(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
+    tuned(spark)
     return pack(docs)
 
 
