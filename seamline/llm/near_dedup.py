@@ -269,8 +269,10 @@ def _id(column: str):
 
 
 def _promising(distinct: DataFrame, shared: DataFrame) -> DataFrame:
-    """Likely pairs (cls, hub) of a class and the least class of a bucket: those with several bands in common."""
-    pairs = shared.where("id <> hub").groupBy("id", F.col("hub").alias("hub_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
+    """Likely pairs (cls, hub) of a class and the least class of a bucket: the one with most bands in common, and the least of those with several."""
+    counted = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED)
+    two = counted.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("a"), F.min("hub").alias("b"))
+    pairs = two.select("id", F.explode(F.array_distinct(F.array("a", "b"))).alias("hub_id"))
     sketch = distinct.select("id", "cls", "small", "large")
     joined = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("hub_id"), F.col("cls").alias("hub"), F.col("small").alias("hub_small"), F.col("large").alias("hub_large")), "hub_id")
     return joined.where("cls <> hub").select("cls", "hub", "small", "large", "hub_small", "hub_large").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double").select("cls", "hub")
