@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
 #: Bytes of text that are hashed at once; bounds a worker's memory at about 60 times this.
 CHUNK_BYTES = 1 << 18
 #: A flat chunk and these bounds are all a hashing pass needs.
@@ -49,6 +54,13 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back: workers live on between tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
     gc.collect()
@@ -152,6 +164,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         last = min(max(last, first + 1), batch.num_rows)
         yield batch.slice(first, last - first), data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
         first = last
+    trim()
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ HELD = 1 << 16
 #: Bits of a position inside a chunk that stand behind a gram's hash when least grams are searched.
 PLACE = 22
 #: Text of records that is sorted at once, in bytes; a gram's records stay together.
-SHARD = 8 << 20
+SHARD = 2 << 20
 #: Text behind one part of the gram count, and bits of a block of the filter.
 PART, BLOCK_BITS = 64 << 20, 1 << 20
 #: Most blocks of the filter; beyond, it lets more through, which costs time but no result.
@@ -335,14 +335,14 @@ def answers(batches: Iterator[pa.RecordBatch], shard: int, memory: int) -> Itera
 CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
 
 
-def cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text and covers in; the maximal removed runs, and what is left, out."""
+def cut(batches: Iterator[pa.RecordBatch], with_kept: bool, has_covers: bool) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, text and, if has_covers, covers in; the maximal removed runs, and what is left, out."""
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     for batch in batches:
         for rows, data, bounds in chunks(batch):
             raw, ids = data.tobytes(), rows.column(0)
             n_bytes, removed, spans, digests, kept = [], [], [], [], []
-            for r, covers in enumerate(rows.column(2).to_pylist()):
+            for r, covers in enumerate(rows.column(2).to_pylist() if has_covers else [None] * rows.num_rows):
                 text, at, left, runs = raw[bounds[r] : bounds[r + 1]], 0, [], []
                 for c in sorted((c["start"], c["end"]) for c in covers or ()):
                     if runs and c[0] <= runs[-1][1]:
@@ -397,7 +397,6 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     total = kinds.agg(F.sum("size")).first()[0] or 0
     twins = kinds.where("n > 1").select("key", "least")
     twin_bits = sc.broadcast(bit_filter(twins, F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), KEY_BITS))
-    single = rows.mapInArrow(lambda b: _with_key(b, twin_bits.value, False), "doc_id long, text string, key binary").select("doc_id", "text")
     matched = rows.mapInArrow(lambda b: _with_key(b, twin_bits.value, True), "doc_id long, text string, key binary").join(twins, "key", "left")
     is_copy = F.col("least").isNotNull() & (order > F.col("least"))
     copy_size = F.octet_length("text")
@@ -411,27 +410,31 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
         F.sha2(F.when(gone, "").otherwise(F.col("text")), 256).alias("kept_sha256"),
         F.when(gone, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept") if with_kept else F.lit(None).cast("binary").alias("kept"),
     )
-    searched = single.unionAll(stored(matched.where(~is_copy).select("doc_id", "text"), "twins"))
+    first_twins = stored(matched.where(~is_copy).select("doc_id", "text"), "twins")
+
+    def searched(f, schema: str) -> DataFrame:
+        """f over one document of each text, in the worker that leaves the others out."""
+        return rows.mapInArrow(lambda b: f(_with_key(b, twin_bits.value, False)), schema).unionAll(first_twins.mapInArrow(f, schema))
 
     blocks = 1
     while blocks < BLOCKS and blocks * BLOCK_BITS < total // 5:
         blocks *= 2
     per_block = max(1, -(-total // (PART * blocks)))
-    lists = searched.mapInArrow(lambda b: gram_lists(b, blocks, per_block), "part int, grams binary")
+    lists = searched(lambda b: gram_lists(b, blocks, per_block), "part int, grams binary")
     twice = lists.repartition(blocks * per_block, "part").sortWithinPartitions("part").mapInArrow(lambda b: repeated_bits(b, blocks, per_block), "block int, bits binary")
     bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
     for block, packed in twice.repartition("block").mapInArrow(merged_bits, "block int, bits binary").toLocalIterator():
         bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(packed, np.uint8)
     release(spark)
     passing = sc.broadcast(bits)
-    found = stored(searched.mapInArrow(lambda b: occurrences(b, passing.value, blocks), OCCURRENCES), "records")
+    found = stored(searched(lambda b: occurrences(b, passing.value, blocks), OCCURRENCES), "records")
     shards = max(blocks, sc.defaultParallelism, int(total // PART))
     dealt = found.where("gram is not null").repartition(shards, "gram").sortWithinPartitions("gram", "digest", "doc")
     records = stored(dealt.mapInArrow(resolve, OCCURRENCES), "resolved")
     release(spark)
     unlike = records.where("gram is not null").groupBy("doc", "uid").agg(F.collect_list(F.struct("gram", "digest", "doc", "uid", "start", "n")).alias("records"))
     unlike_bits = sc.broadcast(bit_filter(records.where("gram is not null").select("uid").distinct(), F.col("uid"), KEY_BITS))
-    asked = searched.mapInArrow(lambda b: _with_uid(b, unlike_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
+    asked = searched(lambda b: _with_uid(b, unlike_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
     contents = asked.dropDuplicates(["doc", "uid"]).join(unlike, ["doc", "uid"]).select("text", "records").mapInArrow(contents_of, CONTENTS)
     contents = contents.repartition(shards, "gram").sortWithinPartitions("gram", "digest")
     partly = contents.mapInArrow(lambda b: answers(b, shard, memory), COVERS)
@@ -441,11 +444,10 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     discard(records)
     release(spark)
     cover_bits = sc.broadcast(bit_filter(covers, F.col("uid"), KEY_BITS))
-    plain = searched.mapInArrow(lambda b: _with_uid(b, cover_bits.value, False), "doc_id long, text string, uid long").withColumn("covers", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    some = searched.mapInArrow(lambda b: _with_uid(b, cover_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
-    some = some.join(covers, ["doc", "uid"], "left")
-    both = plain.select("doc_id", "text", "covers").unionAll(some.select("doc_id", "text", "covers"))
-    return both.mapInArrow(lambda b: cut(b, with_kept), CUT).unionAll(copies)
+    plain = searched(lambda b: cut(_with_uid(b, cover_bits.value, False), with_kept, False), CUT)
+    some = searched(lambda b: _with_uid(b, cover_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
+    some = some.join(covers, ["doc", "uid"], "left").select("doc_id", "text", "covers").mapInArrow(lambda b: cut(b, with_kept, True), CUT)
+    return plain.unionAll(some).unionAll(copies)
 
 
 def report(documents: DataFrame) -> DataFrame:
