@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -294,11 +296,11 @@ def due_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.due(rows, ["user_id"], now).select("id", "user_id", "generation")
 
 
-@query(f"WITH {QUEUE} SELECT id, CASE WHEN retry_count < 3 THEN 'pending' ELSE 'failed' END AS new_status, CASE WHEN retry_count < 3 THEN epoch(date_trunc('second', now))::bigint + least(900, 15 * pow(2, least(retry_count, 6)))::bigint END AS due_at FROM q, clock WHERE status = 'failed'")
+@query(f"WITH {QUEUE} SELECT id, CASE WHEN retry_count < 3 THEN 'pending' ELSE 'failed' END AS new_status, CASE WHEN retry_count < 3 THEN epoch(date_trunc('second', now))::bigint + least(900, 15 * pow(2, least(retry_count, 6)))::bigint ELSE 0 END AS due_at FROM q, clock WHERE status = 'failed'")
 def retried_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, now = _queue(spark, sf_dir)
     out = jobs.retried(rows.where("status = 'failed'"), now, 3)
-    return out.select("id", "new_status", F.unix_seconds("new_attempt_at").alias("due_at"))
+    return out.select("id", "new_status", F.coalesce(F.unix_seconds("new_attempt_at"), F.lit(0)).alias("due_at"))
 
 
 @query(f"WITH {QUEUE} SELECT id, status FROM q, clock WHERE (status = 'done' AND (floor(epoch(now)) - floor(epoch(completed_at))) / 3600.0 > 48) OR (status = 'failed' AND (floor(epoch(now)) - floor(epoch(completed_at))) / 3600.0 > 168)")
@@ -345,3 +347,18 @@ def prunable_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.decode(vectors.encode(F.col("embedding"))).alias("v"))
     return rows.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by a stream over the events, run to its end; its last state is the result."""
+    from seamline.streaming import queue
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"counts_{abs(hash(sf_dir))}"
+    writer = queue.windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    writer.start().awaitTermination()
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
