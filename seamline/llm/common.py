@@ -118,6 +118,11 @@ class Powers:
 _POWERS = Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling base and of its inverse, n of them at least."""
+    return _POWERS.upto(n)
+
+
 def byte_values(fold_case: bool = True) -> np.ndarray:
     """A random 64-bit value for each byte; with fold_case, A-Z have the values of a-z."""
     values = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))

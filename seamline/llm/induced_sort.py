@@ -42,15 +42,21 @@ class Queues:
             self.used += size
             self.parts[byte].append((positions, common))
 
-    def take(self, byte: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self.parts[byte]:
+    def take(self, byte: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next entries, about `most`; None if there are none."""
+        taken, n = [], 0
+        while self.parts[byte] and n < most:
+            a, b = self.parts[byte].pop(0)
+            if isinstance(a, np.ndarray):
+                self.used -= a.nbytes + b.nbytes
+            else:
+                self.file.seek(a)
+                a, b = np.frombuffer(self.file.read(8 * b), np.int64), np.frombuffer(self.file.read(b), np.uint8)
+            taken.append((a, b))
+            n += len(a)
+        if not taken:
             return None
-        a, b = self.parts[byte].pop(0)
-        if isinstance(a, np.ndarray):
-            self.used -= a.nbytes + b.nbytes
-            return a, b
-        self.file.seek(a)
-        return np.frombuffer(self.file.read(8 * b), np.int64), np.frombuffer(self.file.read(b), np.uint8)
+        return taken[0] if len(taken) == 1 else (np.concatenate([a for a, _ in taken]), np.concatenate([b for _, b in taken]))
 
     def close(self) -> None:
         if self.file is not None:
@@ -79,17 +85,35 @@ def range_minima(values: np.ndarray):
     return least
 
 
-def _rank(keys: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows under the order of their columns."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), np.int64)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """For each of sorted keys the index of the first that is equal to it."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first = np.flatnonzero(new)
+    return np.repeat(first, np.diff(np.append(first, len(keys))))
+
+
+def _rank(keys: np.ndarray) -> np.ndarray:
+    """For each key the number of keys less than it."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    if len(keys):
+        out[order] = _starts(keys[order])
     return out
 
 
+def _refine(ranks: np.ndarray, rows: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Tell rows of one rank apart by the values after; rows are all that aren't alone with their rank. Returns those that still aren't."""
+    order = np.lexsort([after, ranks[rows]]) if int(after.max(initial=0)) >= 1 << 31 else np.argsort(ranks[rows] << 32 | after)
+    rows, after = rows[order], after[order]
+    old = ranks[rows]
+    whole = _starts(old)
+    new = np.concatenate([[True], (old[1:] != old[:-1]) | (after[1:] != after[:-1])])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(rows)))
+    ranks[rows] = old + np.repeat(first, size) - whole
+    return rows[np.repeat(size, size) > 1]
+
+
 def _name_substrings(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """Ranks of the substrings from each S* suffix to the next, under the order of bytes and, for equal bytes, of types (L before S)."""
     ends = np.append(stars[1:] + 1, len(text))
@@ -103,12 +127,16 @@ def _name_substrings(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> n
             out = out << np.uint64(9) | np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], np.uint64(0))
         return out
 
-    names = _rank([word(np.arange(len(stars)), 0)])
+    names = _rank(word(np.arange(len(stars)), 0))
     long, k = np.flatnonzero(ends - stars > 7), 1
     while len(long):
-        rest = np.zeros(len(stars), np.uint64)
-        rest[long] = word(long, k)
-        names = _rank([names, rest])
+        # only substrings of one rank have to be told apart; a shorter one has no further symbols
+        counts = np.bincount(names, minlength=len(names))
+        rows = np.flatnonzero(counts[names] > 1)
+        rows = rows[np.isin(names[rows], names[long])]
+        if not len(rows):
+            break
+        _refine(names, rows, _rank(word(rows, k)))
         k += 1
         long = long[(ends[long] - stars[long]) > 7 * k]
     return names
@@ -117,11 +145,11 @@ def _name_substrings(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> n
 def sort_stars(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """S* suffixes in order, as far as DEPTH bytes: the string of substring names is ranked recursively by names of twice the length."""
     names, span = _name_substrings(text, is_s, stars), 1
+    rows = np.flatnonzero(np.bincount(names, minlength=len(names))[names] > 1) if len(names) else np.zeros(0, np.int64)
     # a name covers two bytes at least
-    while 2 * span < DEPTH + 2 and len(names) and int(names.max()) + 1 < len(names):
-        after = np.zeros(len(names), np.int64)
-        after[:-span] = names[span:] + 1
-        names = _rank([names, after])
+    while 2 * span < DEPTH + 2 and len(rows):
+        after = np.where(rows + span < len(names), names[np.minimum(rows + span, len(names) - 1)] + 1, 0)
+        rows = _refine(names, rows, after)
         span *= 2
     return stars[np.argsort(names, kind="stable")]
 
@@ -207,7 +235,7 @@ def sorted_suffixes(text: np.ndarray, memory: int = MEMORY, run: int = RUN):
     up.queues.put(int(text[-1]), np.array([len(text) - 1]), np.zeros(1, np.uint8))
     for byte in range(256):
         last = -1
-        while (entry := up.queues.take(byte)) is not None:
+        while (entry := up.queues.take(byte, run)) is not None:
             positions, common = entry
             if last < 0:
                 common = np.concatenate([np.zeros(1, np.uint8), common[1:]])
@@ -225,7 +253,7 @@ def sorted_suffixes(text: np.ndarray, memory: int = MEMORY, run: int = RUN):
     down = _Induction(text, is_s, True, memory)
     for byte in range(255, -1, -1):
         last, pieces = -1, []
-        while (entry := down.queues.take(byte)) is not None:
+        while (entry := down.queues.take(byte, run)) is not None:
             positions, common = entry
             if last < 0:
                 common = np.concatenate([np.zeros(1, np.uint8), common[1:]])
@@ -236,7 +264,7 @@ def sorted_suffixes(text: np.ndarray, memory: int = MEMORY, run: int = RUN):
             last = int(positions[-1])
         # the L suffixes of this byte, backwards: what an entry shares with the one above it is what that one carries
         held = []
-        while (entry := kept.take(byte)) is not None:
+        while (entry := kept.take(byte, run)) is not None:
             held.append(entry)
         if held:
             positions = np.concatenate([p for p, _ in held])[::-1]

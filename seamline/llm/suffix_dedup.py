@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import U64, bit_filter, byte_values, chunks, discard, prefix_hashes, release, span_hashes, stored
+from seamline.llm.common import U64, bit_filter, byte_values, chunks, discard, powers, prefix_hashes, release, span_hashes, stored
 from seamline.llm.induced_sort import DEPTH, MEMORY, sorted_suffixes
 
 LENGTH, GRAM = DEPTH, 24
@@ -28,6 +28,8 @@ HELD = 1 << 16
 PLACE = 22
 #: Text of records that is sorted at once, in bytes; a gram's records stay together.
 SHARD = 2 << 20
+#: Text behind one partition of the records.
+SHARDS = 16 << 20
 #: Text behind one part of the gram count, and bits of a block of the filter.
 PART, BLOCK_BITS = 64 << 20, 1 << 20
 #: Most blocks of the filter; beyond, it lets more through, which costs time but no result.
@@ -41,6 +43,17 @@ SEPARATOR = b"\xff"
 _VALUES = byte_values(fold_case=False)
 
 
+def _gram_hashes(prefix: np.ndarray, begin: int, n: int) -> np.ndarray:
+    """Hashes of the n grams from `begin` on."""
+    h = prefix[begin + GRAM : begin + GRAM + n] - prefix[begin : begin + n]
+    h *= powers(begin + n)[1][begin : begin + n]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> U64(shift)
+        h *= U64(factor)
+    h ^= h >> U64(31)
+    return h
+
+
 def _records(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Gram hash, row, first and last string start of each record of a chunk, and the prefix hashes of the chunk."""
     prefix = prefix_hashes(_VALUES[data])
@@ -52,9 +65,9 @@ def _records(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     # a chunk that is too long for PLACE is taken in overlapping parts
     for begin in range(0, len(data) - LENGTH + 1, (1 << PLACE) - LENGTH):
         end = min(len(data), begin + (1 << PLACE) - 1)
-        at = np.arange(end - begin - GRAM + 1)
-        grams = span_hashes(prefix, at + begin, at + begin + GRAM)
-        least, size, window = (grams >> U64(PLACE)) << U64(PLACE) | at.astype(U64), 1, LENGTH - GRAM + 1
+        grams = _gram_hashes(prefix, begin, end - begin - GRAM + 1)
+        least, size, window = grams & ~U64((1 << PLACE) - 1), 1, LENGTH - GRAM + 1
+        least |= np.arange(len(grams), dtype=U64)
         while 2 * size <= window:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
@@ -154,7 +167,7 @@ def occurrences(batches: Iterator[pa.RecordBatch], bits: np.ndarray, blocks: int
     """Records whose gram passes the filter: start and number of strings.
 
     Where a batch holds a record's content in a smaller document too, the record is covered already
-    and comes with a null gram; so a content that very many documents share is one row a batch.
+    and comes with n below 0; so of a content that very many documents share one row a batch is dealt by its gram.
     """
     for batch in batches:
         held = []
@@ -173,11 +186,12 @@ def occurrences(batches: Iterator[pa.RecordBatch], bits: np.ndarray, blocks: int
             gram, digest, doc, uid, start, n = (c[order] for c in (gram, digest, doc, uid, start, n))
             run = np.flatnonzero(_first_of_runs(gram, digest))
             least = np.repeat(doc[run], np.diff(np.append(run, len(doc))))
-            yield pa.RecordBatch.from_arrays([pa.array(gram, mask=doc > least), *map(pa.array, (digest, doc, uid, start, n))], names=["gram", "digest", "doc", "uid", "start", "n"])
+            n[doc > least] *= -1
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (gram, digest, doc, uid, start, n))], names=["gram", "digest", "doc", "uid", "start", "n"])
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, digest, doc, uid, start, n) sorted so. Out come, with a null gram, records that a smaller document has as a whole; and, of grams with unlike contents, the records of each content's least document."""
+    """Rows (gram, digest, doc, uid, start, n) sorted so; those with n below 0 just pass. Out come, with a null gram, records that a smaller document has as a whole; and, of grams with unlike contents, the records of each content's least document."""
 
     def table(columns: list, gram_null: np.ndarray) -> pa.RecordBatch:
         gram, digest, doc, uid, start, n = columns
@@ -190,6 +204,12 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = rest
         if batch is not None:
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            passing = new[5] < 0
+            if passing.any():
+                covered = [c[passing] for c in new]
+                covered[5] = -covered[5]
+                yield table(covered, np.ones(len(covered[0]), bool))
+                new = [c[~passing] for c in new]
             columns = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
         if columns is None or not len(columns[0]):
             continue
@@ -280,21 +300,28 @@ def least_documents(contents: list[bytes], starts: list[int], docs: list[int], m
     return [least[b : b + n] for b, n in zip(begin, sizes, strict=True)]
 
 
-def shared(contents: list[bytes]) -> np.ndarray:
-    """Contents that may have a string in common with another, by hashes of their strings."""
+def shared(contents: list[bytes]) -> list[tuple[int, int, int]]:
+    """(content, first, last) of runs of strings that may occur in another content too, by their hashes."""
     sizes = np.array([len(c) for c in contents])
     data = np.frombuffer(b"".join(contents), np.uint8)
     begin = np.cumsum(np.concatenate([[0], sizes]))[:-1]
     n = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(contents)), n)
-    at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    place = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    at = begin[owner] + place
     hashes = span_hashes(prefix_hashes(_VALUES[data]), at, at + LENGTH)
     order = np.argsort(hashes)
-    h, o = hashes[order], owner[order]
-    equal = h[1:] == h[:-1]
-    out = np.zeros(len(contents), bool)
-    out[o[1:][equal]] = out[o[:-1][equal]] = True
-    return out
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    hit = np.zeros(len(hashes), bool)
+    hit[order[1:][equal]] = hit[order[:-1][equal]] = True
+    hits = np.flatnonzero(hit)
+    if not len(hits):
+        return []
+    new = np.ones(len(hits), bool)
+    new[1:] = (np.diff(hits) > 1) | (owner[hits[1:]] != owner[hits[:-1]])
+    first = hits[new]
+    last = hits[np.append(np.flatnonzero(new)[1:], len(hits)) - 1]
+    return list(zip(owner[first].tolist(), place[first].tolist(), place[last].tolist(), strict=True))
 
 
 def answers(batches: Iterator[pa.RecordBatch], shard: int, memory: int) -> Iterator[pa.RecordBatch]:
@@ -305,16 +332,18 @@ def answers(batches: Iterator[pa.RecordBatch], shard: int, memory: int) -> Itera
     def sort() -> Iterator[pa.RecordBatch]:
         nonlocal size
         if len(waiting) > 1:
-            rows = [w for w, s in zip(waiting, shared([w[6] for w in waiting]), strict=True) if s]
+            runs = shared([w[6] for w in waiting])
             out = []
-            if rows:
-                found = least_documents([r[6] for r in rows], [r[5] for r in rows], [r[2] for r in rows], memory)
-                for (_, _, doc, uid, start, _, _), least in zip(rows, found, strict=True):
+            if runs:
+                texts = [waiting[i][6][a : b + LENGTH] for i, a, b in runs]
+                found = least_documents(texts, [b - a + 1 for _, a, b in runs], [waiting[i][2] for i, _, _ in runs], memory)
+                for (i, a, _), least in zip(runs, found, strict=True):
+                    doc, uid, start = waiting[i][2], waiting[i][3], waiting[i][4] + a
                     gone = np.flatnonzero(least < doc)
                     if len(gone):
                         first = gone[np.concatenate([[True], np.diff(gone) > 1])]
                         last = gone[np.concatenate([np.diff(gone) > 1, [True]])]
-                        out += [(doc, uid, start + int(a), start + int(b) + LENGTH) for a, b in zip(first, last, strict=True)]
+                        out += [(doc, uid, start + int(x), start + int(y) + LENGTH) for x, y in zip(first, last, strict=True)]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "uid", "start", "end"])
@@ -427,9 +456,9 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
         bits[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(packed, np.uint8)
     release(spark)
     passing = sc.broadcast(bits)
-    found = stored(searched(lambda b: occurrences(b, passing.value, blocks), OCCURRENCES), "records")
-    shards = max(blocks, sc.defaultParallelism, int(total // PART))
-    dealt = found.where("gram is not null").repartition(shards, "gram").sortWithinPartitions("gram", "digest", "doc")
+    found = searched(lambda b: occurrences(b, passing.value, blocks), OCCURRENCES)
+    shards = max(1, sc.defaultParallelism, int(total // SHARDS))
+    dealt = found.repartition(shards, F.when(F.col("n") < 0, F.col("uid")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "digest", "doc")
     records = stored(dealt.mapInArrow(resolve, OCCURRENCES), "resolved")
     release(spark)
     unlike = records.where("gram is not null").groupBy("doc", "uid").agg(F.collect_list(F.struct("gram", "digest", "doc", "uid", "start", "n")).alias("records"))
@@ -438,9 +467,8 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     contents = asked.dropDuplicates(["doc", "uid"]).join(unlike, ["doc", "uid"]).select("text", "records").mapInArrow(contents_of, CONTENTS)
     contents = contents.repartition(shards, "gram").sortWithinPartitions("gram", "digest")
     partly = contents.mapInArrow(lambda b: answers(b, shard, memory), COVERS)
-    wholly = found.unionAll(records).where("gram is null").select("doc", "uid", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
+    wholly = records.where("gram is null").select("doc", "uid", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
     covers = stored(partly.unionAll(wholly).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "covers")
-    discard(found)
     discard(records)
     release(spark)
     cover_bits = sc.broadcast(bit_filter(covers, F.col("uid"), KEY_BITS))
