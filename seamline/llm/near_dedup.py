@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seamline.llm.common import NOT_SPACE, U64, bit_filter, chunks, discard, mix, prefix_hashes, release, span_hashes, stored, word_hashes, word_spans
 from seamline.llm.components import components
@@ -34,7 +35,9 @@ FAN = 512
 #: Bands that a class and the least class of a bucket have in common where the pair is verified first.
 SHARED = 6
 #: Components are paired by their most similar classes as long as this share of the pairs, and more than FEW, turn out to be links.
-WORTH, FEW = 0.05, 100
+WORTH, FEW = 0.02, 20
+#: Most similar pairs of a root that a cell puts forward, and those that are verified in one round.
+TOP, ROUND = 8, 3
 #: Bits of the filter that keeps texts nobody asks for out of a join.
 FILTER_BITS = 1 << 22
 
@@ -189,7 +192,7 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
     """Rows (key, i, j, side, cls, root, small, large) sorted by (key, i, j): likely pairs of a cell whose roots differ.
 
     A cell holds the blocks i and j of a bucket; side tells which. No cell has more than about 2 * BLOCK
-    rows. With best_only each root of a cell gets its most similar pair alone.
+    rows. With best_only each root of a cell gets its TOP most similar pairs alone.
     """
     name, held = None, []
 
@@ -202,7 +205,7 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
         side = np.array([h[0] for h in held])
         sketch = tuple(_registers([h[i] for h in held]) for i in (3, 4))
         whole = name[1] == name[2]
-        best: dict[int, tuple[float, int, int]] = {}
+        best: list[np.ndarray] = []
         # small cells are compared at once, large ones row by row
         step = max(1, min(len(held), 4096 // len(held)))
         for begin in range(0, len(held), step):
@@ -223,9 +226,8 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
                 continue
             x, y, estimate = x[fits], y[fits], estimate[fits]
             if best_only:
-                for e, i, j in zip(estimate.tolist(), x.tolist(), y.tolist(), strict=True):
-                    if (e, i, j) > best.get(int(roots[i]), (-1.0, 0, 0)):
-                        best[int(roots[i])] = (e, i, j)
+                order = np.lexsort([-estimate, x])
+                best.append(np.stack([estimate[order], x[order], y[order]])[:, _places(x[order]) < TOP])
             else:
                 # a pair comes out of the first of the bands that it shares alone
                 equal = np.concatenate([(sketch[k][x] == sketch[k][y]).reshape(-1, BANDS, BAND).all(2) & (sketch[k][x, :1] != EMPTY) for k in (0, 1)], 1)
@@ -233,8 +235,12 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
                 here = keys[np.arange(len(x)), equal.argmax(1)].view(np.int64) == name[0]
                 for e, i, j in zip(estimate[here].tolist(), x[here].tolist(), y[here].tolist(), strict=True):
                     yield (*_pair(held[i][1], held[j][1]), held[i][2], e)
-        for e, i, j in best.values():
-            yield (*_pair(held[i][1], held[j][1]), held[i][2], e)
+        if best:
+            estimate, x, y = np.concatenate(best, 1)
+            x, y = x.astype(int), y.astype(int)
+            order = np.lexsort([-estimate, roots[x]])
+            for k in order[_places(roots[x][order]) < TOP].tolist():
+                yield (*_pair(held[x[k]][1], held[y[k]][1]), held[x[k]][2], float(estimate[k]))
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out := list(pairs()):
@@ -249,6 +255,12 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
     yield from flush()
 
 
+def _places(groups: np.ndarray) -> np.ndarray:
+    """Place of each row among the rows of its group; groups are sorted."""
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
+
+
 def _pair(a: bytes, b: bytes) -> tuple[bytes, bytes]:
     return max(a, b), min(a, b)
 
@@ -299,8 +311,8 @@ def classes(documents: DataFrame) -> DataFrame:
     2. In every band's bucket each class is paired with the bucket's least class; pairs that share
        several bands and are likely by their sketches are verified on the full sets. Links so far
        give components.
-    3. In buckets that still hold several components, the most similar pair of each component is
-       verified, as long as that links many.
+    3. In buckets that still hold several components, the most similar pairs of each component that
+       haven't been tried are verified, as long as that links many.
     4. At last all likely pairs of unlike components in a bucket are verified. So every pair that
        shares a band is in one component, or ruled out by its sketches, or verified.
     """
@@ -317,9 +329,12 @@ def classes(documents: DataFrame) -> DataFrame:
     best_only = True
     while True:
         likely_pairs = _cells(distinct, shared, found).mapInArrow(lambda b, o=best_only: across(b, o), PAIRS)
+        likely_pairs = likely_pairs.join(tried, ["cls", "hub"], "left_anti")
         if best_only:
-            likely_pairs = likely_pairs.groupBy("root").agg(F.max_by(F.struct("cls", "hub"), F.struct("estimate", "cls", "hub")).alias("pair")).select("pair.*").distinct()
-        more = stored(likely_pairs.select("cls", "hub").join(tried, ["cls", "hub"], "left_anti"), "pairs")
+            ranked = likely_pairs.groupBy("root", "cls", "hub").agg(F.max("estimate").alias("estimate"))
+            place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("estimate"), "cls", "hub"))
+            likely_pairs = ranked.withColumn("place", place).where(F.col("place") <= ROUND)
+        more = stored(likely_pairs.select("cls", "hub").distinct(), "pairs")
         n_more = more.count()
         release(documents.sparkSession)
         n_linked = 0

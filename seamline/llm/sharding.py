@@ -77,7 +77,8 @@ def numbered(df: DataFrame, shard: str, key: str, order: Sequence[str], out: str
     A row's block is a hash of its key. Rows are ranked inside (shard, block); the rows of the blocks
     before come from a count table of at most shards * blocks rows.
     """
-    df = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    named = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    df = df.withColumn("__block", F.pmod(F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int"))
     counts = df.groupBy(F.col(shard).alias("__s"), F.col("__block").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
