@@ -329,11 +329,13 @@ def classes(documents: DataFrame) -> DataFrame:
     best_only = True
     while True:
         likely_pairs = _cells(distinct, shared, found).mapInArrow(lambda b, o=best_only: across(b, o), PAIRS)
-        likely_pairs = likely_pairs.join(tried, ["cls", "hub"], "left_anti")
+        best = Window.partitionBy("root").orderBy(F.desc("estimate"), "cls", "hub")
         if best_only:
             ranked = likely_pairs.groupBy("root", "cls", "hub").agg(F.max("estimate").alias("estimate"))
-            place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("estimate"), "cls", "hub"))
-            likely_pairs = ranked.withColumn("place", place).where(F.col("place") <= ROUND)
+            likely_pairs = ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TOP)
+        likely_pairs = likely_pairs.join(tried, ["cls", "hub"], "left_anti")
+        if best_only:
+            likely_pairs = likely_pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= ROUND)
         more = stored(likely_pairs.select("cls", "hub").distinct(), "pairs")
         n_more = more.count()
         release(documents.sparkSession)
