@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data, and terms that reveal it, are taken out of the texts."""
     tuned(spark)
-    return _counted(sanitise(docs))
+    return _counted(sanitise(docs, everywhere=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, bit_filter, chunks, stored, word_hashes, word_spans
+from seamline.llm.common import ALNUM, bit_filter, chunks, flat_texts, stored, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -19,9 +19,6 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-#: Words on each side of an entity's mention that count as occurring with it.
-CONTEXT = 8
 #: Distinct texts in which a term has to occur with an entity.
 SUPPORT = 3
 #: A term reveals an entity if their pointwise mutual information is at least this part of the entity's own information.
@@ -77,33 +74,26 @@ def entity(kind: str, value: str) -> int:
     return _hash(f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}")
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words around each mention that lie outside all base spans."""
-    out: list[tuple[int, int, int]] = []
-    for kind, start, end in spans:
-        e = entity(kind, text[start:end])
-        left = max(0, start - 64 * CONTEXT)
-        before = [(m.start() + left, m.end() + left) for m in TERM.finditer(text[left:start])]
-        if left and before and before[0][0] == left:
-            before = before[1:]
-        right = min(len(text), end + 64 * CONTEXT)
-        after = [(m.start() + end, m.end() + end) for m in TERM.finditer(text[end:right])]
-        if right < len(text) and after and after[-1][1] == right:
-            after = after[:-1]
-        out += [(e, a, b) for a, b in before[-CONTEXT:] + after[:CONTEXT] if b - a > 1 and not any(a < y and x < b for _, x, y in spans)]
-    if not out:
-        return []
-    words = [text[a:b].encode() for _, a, b in out]
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    starts = ends - np.array([len(w) for w in words])
-    terms = word_hashes(data, starts, ends).view(np.int64).tolist()
-    return [(e, t, a, b) for (e, a, b), t in zip(out, terms, strict=True)]
+def words_outside(data: np.ndarray, bounds: np.ndarray, spans: list[list[tuple[str, int, int]]], bits: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Row, term, start and end, in characters, of the words of two characters and more that lie outside all base spans of their row; with bits, of those that pass the filter."""
+    starts, ends, first = word_spans(data, bounds, ALNUM)
+    terms = word_hashes(data, starts, ends).view(np.int64)
+    at = np.arange(len(terms)) if bits is None else np.flatnonzero(bits[terms % FILTER_BITS])
+    row = np.searchsorted(first, at, "right") - 1
+    before = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+    start, end = before[starts[at]] - before[bounds[row]], before[ends[at]] - before[bounds[row]]
+    keep = end - start > 1
+    for r in np.unique(row):
+        if spans[r]:
+            a, b = np.searchsorted(row, [r, r + 1])
+            begins, stops = np.array(sorted((x, y) for _, x, y in spans[r])).T
+            stops = np.concatenate([[0], np.maximum.accumulate(stops)])
+            keep[a:b] &= stops[np.searchsorted(begins, end[a:b])] <= start[a:b]
+    return row[keep], terms[at][keep], start[keep], end[keep]
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-NEAR = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-FOUND = "doc_id long, key binary, spans array<struct<kind:string,start:int,end:int>>, entities array<long>, near array<struct<e:long,t:long,start:int,end:int>>"
+FOUND = "doc_id long, key binary, spans array<struct<kind:string,start:int,end:int>>, entities array<long>, terms array<long>"
 
 
 def _with_spans(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[list[tuple[str, int, int]]], list[bytes]]]:
@@ -124,7 +114,11 @@ def _with_spans(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[st
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, texts, spans, keys in _with_spans(batch):
-            near = [contexts(texts[r].as_py(), s) if s else [] for r, s in enumerate(spans)]
+            terms = [[] for _ in spans]
+            if some := [r for r, s in enumerate(spans) if s]:
+                row, term, *_ = words_outside(*flat_texts(texts.take(pa.array(some))), [spans[r] for r in some])
+                for r, words in zip(some, np.split(term, np.searchsorted(row, np.arange(1, len(some)))), strict=True):
+                    terms[r] = np.unique(words)
             entities = [sorted({entity(k, texts[r].as_py()[a:b]) for k, a, b in s}) for r, s in enumerate(spans)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -132,9 +126,9 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(keys, pa.binary()),
                     pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], pa.list_(SPAN)),
                     pa.array(entities, pa.list_(pa.int64())),
-                    pa.array([[{"e": e, "t": t, "start": a, "end": b} for e, t, a, b in n] for n in near], pa.list_(NEAR)),
+                    pa.array(terms, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "spans", "entities", "near"],
+                names=["doc_id", "key", "spans", "entities", "terms"],
             )
 
 
@@ -156,22 +150,23 @@ def revealing(documents: DataFrame, found: DataFrame, support: int = SUPPORT, di
     """(e, t, part) of terms that reveal an entity.
 
     All counts are of distinct texts of the whole corpus. With n texts, of which d(e) hold the
-    entity, d(t) the term anywhere and c(e, t) the term near the entity, the pointwise mutual
+    entity, d(t) the term anywhere and c(e, t) both, the term outside base spans, the pointwise mutual
     information is log2(n c / (d(e) d(t))) and the entity's own information log2(n / d(e)); part is
-    their ratio. It is 1 if the term occurs near the entity alone.
+    their ratio. It is 1 if the term occurs together with the entity alone.
     """
-    texts = found.where(F.size("entities") > 0).groupBy("key").agg(F.first("entities").alias("entities"), F.first("near").alias("near"))
+    texts = stored(found.where(F.size("entities") > 0).groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "texts")
     n = found.select("key").distinct().count()
-    near = texts.select("key", F.explode("near").alias("x")).select("key", "x.e", "x.t").distinct()
-    per_entity = texts.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("d_e"))
-    pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support).join(per_entity, "e")
+    held = texts.select("key", F.explode("entities").alias("e"))
+    per_entity = held.groupBy("e").agg(F.count(F.lit(1)).alias("d_e")).where(F.col("d_e") >= support)
+    both = held.join(per_entity.select("e"), "e", "left_semi").join(texts.select("key", "terms"), "key").select("e", F.explode("terms").alias("t"))
+    pairs = both.groupBy("e", "t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= support).join(per_entity, "e")
     own = F.log2(F.lit(float(max(n, 1))) / F.col("d_e"))
 
     def part(d_t: str):
         return F.when(own > 0, (F.log2(F.lit(float(max(n, 1))) * F.col("c") / (F.col("d_e") * F.col(d_t)))) / own).otherwise(0.0)
 
-    # a term occurs in no fewer texts than those in which it is near some entity
-    at_least = near.select("key", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("least_d_t"))
+    # a term occurs in no fewer texts than those that hold some entity as well
+    at_least = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("least_d_t"))
     possible = stored(pairs.join(at_least, "t").where(part("least_d_t") >= disclosure).drop("least_d_t"), "possible")
     terms = possible.select("t").distinct()
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, F.col("t"), FILTER_BITS))
@@ -180,10 +175,29 @@ def revealing(documents: DataFrame, found: DataFrame, support: int = SUPPORT, di
     return stored(possible.join(per_term, "t").select("e", "t", part("d_t").alias("part")).where(F.col("part") >= disclosure), "revealing")
 
 
-def term_spans(found: DataFrame, reveals: DataFrame) -> DataFrame:
-    """(key, terms): by text digest, the spans of revealing terms near the entity they reveal; `part` is the largest of a span."""
-    near = found.where(F.size("near") > 0).groupBy("key").agg(F.first("near").alias("near")).select("key", F.explode("near").alias("x")).select("key", "x.*")
-    spans = near.join(reveals, ["e", "t"]).groupBy("key", "start", "end").agg(F.max("part").alias("part"))
+def places(batches: Iterator[pa.RecordBatch], bits: np.ndarray, everywhere: bool) -> Iterator[pa.RecordBatch]:
+    """(key, t, start, end) of the words outside base spans that pass the filter, in texts with base spans or everywhere."""
+    for batch in batches:
+        for _, data, bounds in chunks(batch):
+            starts, ends, first = word_spans(data, bounds, ALNUM)
+            hit = np.flatnonzero(bits[word_hashes(data, starts, ends).view(np.int64) % FILTER_BITS])
+            some = np.unique(np.searchsorted(first, hit, "right") - 1)
+            raw = data.tobytes()
+            parts = [raw[bounds[r] : bounds[r + 1]] for r in some]
+            spans = [[(k, a, b) for k, found in base_spans(p.decode()).items() for a, b in found] for p in parts]
+            if not everywhere:
+                parts, spans = [p for p, s in zip(parts, spans, strict=True) if s], [s for s in spans if s]
+            row, term, start, end = words_outside(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), spans, bits)
+            keys = [hashlib.md5(p).digest() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[r] for r in row], pa.binary()), pa.array(term, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["key", "t", "start", "end"])
+
+
+def term_spans(documents: DataFrame, reveals: DataFrame, everywhere: bool) -> DataFrame:
+    """(key, terms): by text digest, the spans of all occurrences of terms that reveal some entity; `part` is the largest of a term."""
+    worst = reveals.groupBy("t").agg(F.max("part").alias("part"))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(worst, F.col("t"), FILTER_BITS))
+    found = documents.select("text").mapInArrow(lambda b: places(b, shared.value, everywhere), "key binary, t long, start int, end int")
+    spans = found.join(worst, "t").groupBy("key", "start", "end").agg(F.max("part").alias("part"))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "part"))).alias("terms"))
 
 
@@ -195,15 +209,16 @@ def _count_of(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     """Per document: counts of base spans by kind, digest of the base spans, and all spans with those of revealing terms.
 
+    Terms are marked wherever they stand in texts with base spans; with `everywhere`, in all texts.
     Null and empty texts have no spans. Repeated rows and rows of one doc_id keep a row each. Counts
     behind the terms are of distinct texts, so copies don't make a term reveal anything.
     """
     found = stored(documents.select("doc_id", "text").mapInArrow(find, FOUND), "found")
-    terms = term_spans(found, revealing(documents, found))
-    rows = found.join(terms, "key", "left")
+    terms = term_spans(documents, revealing(documents, found), everywhere)
+    rows = found.drop("terms").join(terms, "key", "left")
     n = {k: _count_of(k).alias(f"n_{k}") for k in KINDS}
     term = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,part:double>>")), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return rows.select("doc_id", *n.values(), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.concat("spans", term)).alias("spans"))
@@ -226,7 +241,7 @@ def _sanitise(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Ite
         for rows, texts, spans, keys in _with_spans(batch):
             keep = [i for i, name in enumerate(rows.schema.names) if name not in ("__key", "__terms")]
             terms = rows.column(rows.schema.get_field_index("__terms")).to_pylist() if bits is None else [None] * rows.num_rows
-            new = [sanitised(texts[r].as_py(), s, terms[r] or []) if s else texts[r].as_py() for r, s in enumerate(spans)]
+            new = [sanitised(texts[r].as_py(), s, terms[r] or []) if s or terms[r] else texts[r].as_py() for r, s in enumerate(spans)]
             out = pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if rows.schema.names[i] == "text" else rows.column(i) for i in keep], names=[rows.schema.names[i] for i in keep])
             yield out if bits is None else out.filter(pa.array([not bits[_key_bit(k)] for k in keys], pa.bool_()))
 
@@ -244,13 +259,14 @@ def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary())], names=[*rows.schema.names, "__key"]).filter(mask)
 
 
-def sanitise(documents: DataFrame) -> DataFrame:
+def sanitise(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     """The same rows and columns, with personal data and the terms that reveal it taken out of the texts.
 
+    Terms are taken out wherever they stand in texts with base spans; with `everywhere`, from all texts.
     Only documents that may hold such terms are joined with them; all others are rewritten in place.
     """
     found = stored(documents.select("doc_id", "text").mapInArrow(find, FOUND), "found")
-    terms = stored(term_spans(found, revealing(documents, found)), "terms")
+    terms = stored(term_spans(documents, revealing(documents, found), everywhere), "terms")
     prefix = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, prefix, FILTER_BITS))
     plain = documents.mapInArrow(lambda b: _sanitise(b, shared.value), documents.schema)

@@ -26,7 +26,7 @@ def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seamline.llm.pii import report
 
-    return report(_table(spark, sf_dir, "documents"))
+    return report(_table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op4_url_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,26 @@ def test_sanitised_texts(spark):
             assert rows[i] == text
     assert pii.sanitised("x 1.2.3.4 +12345 67890", [("ip", 2, 9), ("phone", 10, 22)], []) == "x [IP] [PHONE]"
     assert sorted(map(str, pii.sanitise(documents(spark)).collect())) == sorted(map(str, documents(spark).collect()))
+
+
+def spread():
+    far = " stone river cloud" * 20
+    rows = [(i, f"é🙂 nickname wrote{far} from ann@mail.example.com n{i} a.nickname@b.de Nickname", "", "", 1) for i in range(8)]
+    return rows + [(100 + i, f"é🙂 wrote from home{far} n{i}", "", "", 1) for i in range(200)] + [(400, "é nickname alone, NICKNAME again", "", "", 1), (400, "é nickname alone, NICKNAME again", "", "", 1), (401, None, "", "", 1)]
+
+
+def test_terms_are_found_in_whole_texts_and_in_all(spark):
+    docs = documents(spark, spread())
+    texts = {r[0]: r[1] for r in spread()}
+    marked = {}
+    for r in pii.report(docs, everywhere=True).collect():
+        found = [s.split(":") for s in r["spans"].split(",") if s]
+        marked[r["doc_id"]] = [texts[r["doc_id"]][int(a) : int(b)] for k, a, b in found if k == "term"]
+    assert len(marked) == len(texts)
+    assert marked == {i: ["nickname", "Nickname"] if i < 8 else ["nickname", "NICKNAME"] if i == 400 else [] for i in texts}
+    rows = pii.sanitise(docs, everywhere=True).collect()
+    assert len(rows) == len(spread())
+    for r in rows:
+        i, text = r["doc_id"], texts[r["doc_id"]]
+        assert r["text"] == text if 100 <= i < 400 or i == 401 else "nickname" not in r["text"].lower()
+    assert [r["text"] for r in rows if r["doc_id"] == 400] == ["é [TERM] alone, [TERM] again"] * 2  # 8 of 9 texts: log2(210 * 8 / (8 * 9)) / log2(210 / 8) is under REMOVE
