@@ -51,8 +51,9 @@ RUN = re.compile(
     r"|[^\W_]*([a-z])\1\1[^\W_]*",  # a letter three times
     re.IGNORECASE,
 )
-#: Runs are words; what is longer than this isn't one.
+#: Readings of runs up to this length are kept for the next time; longer ones are read each time, with no character more than three times in a row.
 LONGEST = 48
+REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,36 +87,52 @@ def _options(ch: str) -> list[tuple[str, float]]:
     return [(ch, 0.0)]
 
 
-def decode(run: str, model: CharacterModel) -> str:
-    """The cheapest reading of a run: Viterbi over the lattice of its characters' readings, states being the last two symbols.
+def cheapest(run: str, model: CharacterModel) -> tuple[float, str]:
+    """Cost and text of the cheapest reading of a run: Viterbi over the lattice of its characters' readings, states being the last two symbols.
 
     A look-alike is read as one of its letters or left out; a separator is left out or is a word
     boundary; a letter equal to the one before may be left out. The model's cost of each symbol, and
-    of the boundary after the last, is added.
+    of the boundary after the last, is added. A state holds its text as a chain of letters, so that
+    time and memory are linear in the run.
     """
     costs = model.costs
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    Chain = tuple | None
+    states: dict[tuple[int, int], tuple[float, Chain]] = {(EDGE, EDGE): (0.0, None)}
     for ch in run.lower():
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, Chain]] = {}
 
-        def offer(state: tuple[int, int], cost: float, text: str) -> None:
+        def offer(state: tuple[int, int], cost: float, chain: Chain, letter: str = "") -> None:
             if state not in after or cost < after[state][0]:  # noqa: B023
-                after[state] = (cost, text)  # noqa: B023
+                after[state] = (cost, (chain, letter) if letter else chain)  # noqa: B023
 
-        for (a, b), (cost, text) in states.items():
+        for (a, b), (cost, chain) in states.items():
             if ch in SEPARATORS:
-                offer((a, b), cost + SKIP, text)
-                offer((b, EDGE), cost + BREAK + costs[a][b][EDGE], text + " ")
+                offer((a, b), cost + SKIP, chain)
+                offer((b, EDGE), cost + BREAK + costs[a][b][EDGE], chain, " ")
                 continue
             for letter, extra in _options(ch):
                 s = ord(letter) - 97 if "a" <= letter <= "z" else OTHER
-                offer((b, s), cost + extra + costs[a][b][s], text + letter)
-                if text.endswith(letter):
-                    offer((a, b), cost + extra + SKIP, text)
+                offer((b, s), cost + extra + costs[a][b][s], chain, letter)
+                if chain and chain[1] == letter:
+                    offer((a, b), cost + extra + SKIP, chain)
             if ch in LEET:
-                offer((a, b), cost + DROP, text)
+                offer((a, b), cost + DROP, chain)
         states = after
-    return min((cost + costs[a][b][EDGE], text) for (a, b), (cost, text) in states.items())[1]
+    total = {state: cost + costs[state[0]][state[1]][EDGE] for state, (cost, _) in states.items()}
+    least = min(total.values())
+    return least, min(_spelt(states[state][1]) for state, cost in total.items() if cost == least)
+
+
+def _spelt(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def decode(run: str, model: CharacterModel) -> str:
+    return cheapest(run, model)[1]
 
 
 def suspicious(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -138,12 +155,13 @@ class Restorer:
     """Restores the obfuscated words of texts; readings of a run are kept for the next time."""
 
     def __init__(self, model: CharacterModel) -> None:
+        self.model = model
         self.read = lru_cache(maxsize=1 << 16)(lambda run: decode(run, model))
 
     def text(self, text: str) -> str:
         def word(m: re.Match) -> str:
             run = m.group()
-            return run if len(run) > LONGEST else self.read(run.lower())
+            return self.read(run.lower()) if len(run) <= LONGEST else decode(REPEATED.sub(r"\1\1\1", run.lower()), self.model)
 
         return RUN.sub(word, text)
 

@@ -92,6 +92,15 @@ def test_rows_that_are_not_suspicious_have_no_runs(text):
         assert t.RUN.search(text) is None
 
 
+def test_runs_of_any_length_are_restored():
+    r = t.Restorer(model())
+    text = r.text("you " + " ".join("worthlessstupididiotpatheticmoron") + " there")
+    assert all(word in text for word in ("you ", "stupid", "idiot", "pathetic", "moron", " there")), text
+    assert r.text("st" + "u" * 60 + "pid") == "stupid"
+    assert not any(c.isdigit() for c in r.text("st0pid1d10t" * 6))
+    assert len(t.decode("a b " * 20000, model())) > 1000
+
+
 def labelled(spark):
     words = "river stone cloud light green table house paper music water".split()
     rng = np.random.default_rng(4)
