@@ -46,11 +46,13 @@ _SYMBOL[0x80:0xC0] = 255
 
 _CHARS = re.escape("".join(LEET))
 RUN = re.compile(
-    rf"(?<![^\W_])(?:[a-z{_CHARS}][{re.escape(SEPARATORS)}]){{3,}}[a-z{_CHARS}](?![^\W_])"  # letters set apart
-    rf"|(?<!\S)[{_CHARS}]{{0,2}}(?:[^\W\d_]+[{_CHARS}]+)+[^\W\d_]+(?![^\W_])|(?<![^\W_])[{_CHARS}]{{1,2}}[^\W\d_]{{2,}}(?:[{_CHARS}]+[^\W\d_]+)*(?![^\W_])"  # letters and look-alikes
+    rf"(?<![^\W_])(?:[a-z{_CHARS}][{re.escape(SEPARATORS)}]+){{3,}}[a-z{_CHARS}](?![^\W_])"  # letters set apart
+    rf"|(?<![^\W_])[{_CHARS}]{{0,2}}(?:[^\W\d_]+[{_CHARS}]+)+[^\W\d_]*(?![^\W_])|(?<![^\W_])[{_CHARS}]{{1,2}}[^\W\d_]{{2,}}(?:[{_CHARS}]+[^\W\d_]+)*(?![^\W_])"  # letters and look-alikes
     r"|[^\W_]*([a-z])\1\1[^\W_]*",  # a letter three times
     re.IGNORECASE,
 )
+#: Look-alikes behind a letter at the end of a run: part of the word, or punctuation and numbers that stay as they are for the cost of one that is left out.
+TAIL = re.compile(rf"(?<=[^\W\d_])[{_CHARS}]+\Z")
 #: Readings of runs up to this length are kept for the next time; longer ones are read each time, with no character more than three times in a row.
 LONGEST = 48
 REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
@@ -135,18 +137,36 @@ def decode(run: str, model: CharacterModel) -> str:
     return cheapest(run, model)[1]
 
 
+def reading(run: str, model: CharacterModel) -> str:
+    """The cheapest reading of a run, look-alikes at its end being read with it or kept as they are."""
+    tail = TAIL.search(run)
+    if not tail:
+        return decode(run, model)
+    stem, marks = run[: tail.start()], tail.group()
+    kept, rest = cheapest(stem, model)
+    # three of one mark are punctuation
+    if marks.isdigit() or len(marks) < 3 or len(set(marks)) > 1:
+        cost, text = cheapest(run, model)
+        if cost < kept + DROP:
+            return text
+    return (rest if RUN.fullmatch(stem) else stem) + marks
+
+
 def suspicious(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Rows that may hold an obfuscated word, from their bytes alone."""
-    if len(data) < 3:
+    if len(data) < 2:
         return np.zeros(len(bounds) - 1, bool)
     letter, leet, gap = _LETTER[data], _LEET[data], _GAP[data]
     mark = np.zeros(len(data) + 1, np.int64)
     m = mark[1:]
-    m[:-1] |= (leet[:-1] & (letter[1:] | (data[1:] >= 0x80))).astype(np.int64)
+    word = letter | (data >= 0x80)
+    m[:-1] |= ((leet[:-1] & word[1:]) | (word[:-1] & leet[1:])).astype(np.int64)
     m[:-2] |= letter[:-2] & (data[:-2] | 32 == data[1:-1] | 32) & (data[1:-1] | 32 == data[2:] | 32)
-    if len(data) > 6:
-        one = (letter | leet)
-        m[:-6] |= one[:-6] & gap[1:-5] & one[2:-4] & gap[3:-3] & one[4:-2] & gap[5:-1] & one[6:]
+    # separators in a row count as one
+    at = np.flatnonzero(np.concatenate([[True], ~(gap[1:] & gap[:-1])]))
+    if len(at) > 6:
+        one, gap = (letter | leet)[at], gap[at]
+        m[at[:-6]] |= one[:-6] & gap[1:-5] & one[2:-4] & gap[3:-3] & one[4:-2] & gap[5:-1] & one[6:]
     np.cumsum(mark, out=mark)
     return mark[bounds[1:]] > mark[bounds[:-1]]
 
@@ -156,12 +176,12 @@ class Restorer:
 
     def __init__(self, model: CharacterModel) -> None:
         self.model = model
-        self.read = lru_cache(maxsize=1 << 16)(lambda run: decode(run, model))
+        self.read = lru_cache(maxsize=1 << 16)(lambda run: reading(run, model))
 
     def text(self, text: str) -> str:
         def word(m: re.Match) -> str:
             run = m.group()
-            return self.read(run.lower()) if len(run) <= LONGEST else decode(REPEATED.sub(r"\1\1\1", run.lower()), self.model)
+            return self.read(run.lower()) if len(run) <= LONGEST else reading(REPEATED.sub(r"\1\1\1", run.lower()), self.model)
 
         return RUN.sub(word, text)
 

@@ -101,6 +101,30 @@ def test_runs_of_any_length_are_restored():
     assert len(t.decode("a b " * 20000, model())) > 1000
 
 
+def test_words_that_end_in_look_alikes_or_stand_in_quotes():
+    text = " ".join((VOCABULARY + ["lame", "dumbass", "ass", "his", "less"]) * 30)
+    counts = np.zeros(t.SYMBOLS**3, np.int64)
+    batch = next(t.count_trigrams(iter([documents_batch([text])])))
+    counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    r = t.Restorer(t.CharacterModel(counts))
+    for text, want in [
+        ("1d107", "idiot"),
+        ("an idio7.", "an idiot."),
+        ("w0r7hl355", "worthless"),
+        ("a$$", "ass"),
+        ("l4m3", "lame"),
+        ("dumba55", "dumbass"),
+        ('"stup1d"', '"stupid"'),
+        ("(stup1d", "(stupid"),
+        ("you.stup1d", "you.stupid"),
+        ("-stup1d", "-stupid"),
+        ("you s  t  u  p  i  d there", "you stupid there"),
+        ("hello! world, cats!!! stup1d!", "hello! world, cats!!! stupid!"),
+    ]:
+        assert t.suspicious(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+        assert r.text(text) == want, (text, r.text(text))
+
+
 def labelled(spark):
     words = "river stone cloud light green table house paper music water".split()
     rng = np.random.default_rng(4)
