@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,14 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set to a temporary one only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, set to a temporary one only where it is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jsc.get() if jsc.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seamline-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -51,7 +54,32 @@ def stored(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     tuned(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have: these, with underscores before those that it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def apart(f):
+    """For functions that give back the columns of their first argument: no other column than doc_id and text has a name inside that could clash."""
+
+    @wraps(f)
+    def run(documents: DataFrame, *args, **options) -> DataFrame:
+        names = documents.columns
+        inside = documents.toDF(*[n if n in ("doc_id", "text") else f"__c{i}" for i, n in enumerate(names)])
+        return f(inside, *args, **options).toDF(*names)
+
+    return run
 
 
 def trim() -> None:
@@ -67,19 +95,40 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def bit_filter(df: DataFrame, number, bits: int) -> np.ndarray:
-    """Which residues of `number` occur in df: a filter of fixed size, which bounds what comes to the driver however many rows there are."""
-    out = np.zeros(bits, bool)
-    out[df.select(F.pmod(number, F.lit(bits)).cast("int").alias("bit")).where("bit is not null").distinct().toArrow().column(0).to_numpy()] = True
-    return out
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        if name := getattr(df, "stored_at", None):
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class BitFilter:
+    """Which residues of numbers occur: 2^25 bits at most, 4 MB. A filter that is full lets more rows through; what passes is joined exactly."""
+
+    def __init__(self, bits: int, bytes_: np.ndarray) -> None:
+        self.bits, self.bytes = bits, bytes_
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        """Which of these 64-bit numbers may occur."""
+        at = (numbers % self.bits).astype(np.int64)
+        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def bit_filter(df: DataFrame, number, most: int = 1 << 25) -> BitFilter:
+    """A filter of the values of `number` in df. Sized by the rows up to `most` bits; maps of 32,768 bits come to the driver, no values."""
+    number = df.where(number.isNotNull()).select(number.cast("long").alias("number"))
+    bits = 1 << 15
+    while bits < most and bits < 32 * number.count():
+        bits = min(most, bits * 32)
+    # both functions count from 1
+    at = F.pmod("number", F.lit(bits)) + 1
+    maps = number.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, bitmap in maps.collect():  # at most most / 32,768 rows of 4 KB
+        out[(bucket - 1) << 12 : bucket << 12] = np.frombuffer(bitmap, np.uint8)
+    return BitFilter(bits, out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

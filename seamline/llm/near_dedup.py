@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seamline.llm.common import NOT_SPACE, U64, bit_filter, chunks, discard, mix, prefix_hashes, release, span_hashes, stored, word_hashes, word_spans
+from seamline.llm.common import NOT_SPACE, U64, BitFilter, apart, bit_filter, chunks, discard, mix, prefix_hashes, release, span_hashes, stored, word_hashes, word_spans
 from seamline.llm.components import components
 
 #: Words of a shingle, and the similarity of a link in hundredths.
@@ -36,11 +36,8 @@ FAN = 512
 SHARED = 6
 #: Components are paired by their most similar classes as long as this share of the pairs, and more than FEW, turn out to be links.
 WORTH, FEW = 0.02, 20
-#: Most similar pairs of a root that a cell puts forward, and those that are verified in one round.
-TOP, ROUND = 8, 3
-#: Bits of the filter that keeps texts nobody asks for out of a join.
-FILTER_BITS = 1 << 22
-
+#: Most similar pairs of a root that are verified in one round, and classes of a shingle that names the pairs that share it.
+ROUND, RARE = 3, 4
 
 #: What tells the keys of the bands apart.
 SALT = mix(np.arange(1, 2 * BANDS + 1, dtype=U64)).reshape(2, BANDS)
@@ -188,63 +185,67 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["u", "v"])
 
 
-def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, cls, root, small, large) sorted by (key, i, j): likely pairs of a cell whose roots differ.
+PAIRS = "cls binary, other binary, root binary, estimate double"
+CELL = ("key", "i", "j", "side", "minor", "cls", "root", "n", "common", "small", "large")
+
+
+def across(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of CELL sorted by (key, i, j): likely pairs of a cell whose roots differ, each out of the first band that it shares.
 
-    A cell holds the blocks i and j of a bucket; side tells which. No cell has more than about 2 * BLOCK
-    rows. With best_only each root of a cell gets its TOP most similar pairs alone.
+    A cell compares block i of all rows of a bucket (side 0) with block j of its minority (side 1), the
+    rows outside the bucket's largest component; where a bucket is one cell, minority rows come once.
+    With `every` all pairs come out, else for each class its most similar one: a row a class and cell.
     """
     name, held = None, []
 
     def pairs() -> Iterator[tuple[bytes, bytes, bytes, float]]:
-        if len(held) < 2:
+        side, minor, cls, root, n, common = (np.array([h[k] for h in held]) for k in range(6))
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1)
+        if not len(b):
+            b = a[minor[a]]
+        if not len(a) or not len(b):
             return
-        roots = np.unique([h[2] for h in held], return_inverse=True)[1]
-        if not roots.any():
-            return
-        side = np.array([h[0] for h in held])
-        sketch = tuple(_registers([h[i] for h in held]) for i in (3, 4))
-        whole = name[1] == name[2]
-        best: list[np.ndarray] = []
-        # small cells are compared at once, large ones row by row
-        step = max(1, min(len(held), 4096 // len(held)))
-        for begin in range(0, len(held), step):
-            xs = np.arange(begin, min(len(held), begin + step))
-            other = roots[xs, None] != roots
-            if not whole:
-                other &= side[xs, None] != side
-            if not best_only:
-                other &= xs[:, None] < np.arange(len(held))
-            x, y = np.nonzero(other)
+        sketch = tuple(_registers([h[k] for h in held]) for k in (6, 7))
+        rank = np.unique(cls, return_inverse=True)[1]
+        roots = np.unique(root, return_inverse=True)[1]
+        best: dict[bytes, tuple[float, bytes, bytes]] = {}
+        step = max(1, 4096 // len(a))
+        for begin in range(0, len(b), step):
+            part = b[begin : begin + step, None]
+            least = np.minimum(common[a], common[part])
+            # no more than `least` shingles can be in both
+            fits = (roots[a] != roots[part]) & ((100 + SIMILAR) * least >= SIMILAR * (n[a] + n[part])) & (~minor[a] | (rank[a] < rank[part]))
+            y, x = np.nonzero(fits)
             if not len(x):
                 continue
-            x += begin
-            a, b = ((sketch[0][z], sketch[1][z]) for z in (x, y))
-            estimate, fits = estimates(a, b)
-            fits = np.flatnonzero(fits)
-            if not len(fits):
-                continue
-            x, y, estimate = x[fits], y[fits], estimate[fits]
-            if best_only:
-                order = np.lexsort([-estimate, x])
-                best.append(np.stack([estimate[order], x[order], y[order]])[:, _places(x[order]) < TOP])
-            else:
-                # a pair comes out of the first of the bands that it shares alone
-                equal = np.concatenate([(sketch[k][x] == sketch[k][y]).reshape(-1, BANDS, BAND).all(2) & (sketch[k][x, :1] != EMPTY) for k in (0, 1)], 1)
-                keys = np.concatenate([_keys(sketch[k][x], k) for k in (0, 1)], 1)
-                here = keys[np.arange(len(x)), equal.argmax(1)].view(np.int64) == name[0]
-                for e, i, j in zip(estimate[here].tolist(), x[here].tolist(), y[here].tolist(), strict=True):
-                    yield (*_pair(held[i][1], held[j][1]), held[i][2], e)
-        if best:
-            estimate, x, y = np.concatenate(best, 1)
-            x, y = x.astype(int), y.astype(int)
-            order = np.lexsort([-estimate, roots[x]])
-            for k in order[_places(roots[x][order]) < TOP].tolist():
-                yield (*_pair(held[x[k]][1], held[y[k]][1]), held[x[k]][2], float(estimate[k]))
+            x, y = a[x], b[begin + y]
+            estimate, likely = estimates((sketch[0][x], sketch[1][x]), (sketch[0][y], sketch[1][y]))
+            x, y, estimate = x[likely], y[likely], estimate[likely]
+            equal = np.concatenate([(sketch[k][x] == sketch[k][y]).reshape(-1, BANDS, BAND).all(2) & (sketch[k][x, :1] != EMPTY) for k in (0, 1)], 1)
+            keys = np.concatenate([_keys(sketch[k][x], k) for k in (0, 1)], 1)
+            here = keys[np.arange(len(x)), equal.argmax(1)].view(np.int64) == name[0]
+            for e, p, q in zip(estimate[here].tolist(), x[here].tolist(), y[here].tolist(), strict=True):
+                for u, v in ((p, q),) if every else ((p, q), (q, p)):
+                    if every:
+                        yield (held[u][2], held[v][2], held[u][3], e)
+                    elif (old := best.get(held[u][2])) is None or (e, held[v][2]) > old[:2]:
+                        best[held[u][2]] = (e, held[v][2], held[u][3])
+        for u, (e, v, r) in best.items():
+            yield (u, v, r, e)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if out := list(pairs()):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("cls", pa.binary()), ("hub", pa.binary()), ("root", pa.binary()), ("estimate", pa.float64())]))
+        out = []
+        for pair in pairs() if len(held) > 1 else ():
+            out.append(pair)
+            if len(out) == 1 << 14:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
+
+    def table(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("cls", pa.binary()), ("other", pa.binary()), ("root", pa.binary()), ("estimate", pa.float64())]))
 
     for batch in batches:
         for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -255,16 +256,6 @@ def across(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.Re
     yield from flush()
 
 
-def _places(groups: np.ndarray) -> np.ndarray:
-    """Place of each row among the rows of its group; groups are sorted."""
-    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
-    return np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
-
-
-def _pair(a: bytes, b: bytes) -> tuple[bytes, bytes]:
-    return max(a, b), min(a, b)
-
-
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links of (cls, hub) pairs. A hub's pairs are spread over groups of about FAN, each with one copy of the hub's text."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("groups"))
@@ -290,18 +281,54 @@ def _promising(distinct: DataFrame, shared: DataFrame) -> DataFrame:
     return joined.where("cls <> hub").select("cls", "hub", "small", "large", "hub_small", "hub_large").mapInArrow(estimate_pairs, "cls binary, hub binary, estimate double").select("cls", "hub")
 
 
-def _cells(distinct: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, dealt to cells of two blocks."""
-    info = distinct.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("id", "cls", "small", "large", F.coalesce("root", "cls").alias("root")).withColumn("mark", F.xxhash64("root"))
-    rooted = shared.select("key", "id").join(info.select("id", "mark"), "id").select("key", "id", "mark")
-    mixed = rooted.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = shared.select("key", "id").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "id").join(info, "id")
-    return cells.select("key", "i", "j", "side", "cls", "root", "small", "large").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
+def _cells(info: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, dealt to cells of a block of all rows and a block of the minority.
 
-PAIRS = "cls binary, hub binary, root binary, estimate double"
+    Members of a bucket's largest component are compared with the others alone, so a large group that
+    has been linked costs its size times the blocks of what is still apart.
+    """
+    marked = info.withColumn("mark", F.xxhash64("root"))
+    rooted = shared.select("key", "id").join(marked.select("id", "mark"), "id")
+    per_root = rooted.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("c"))
+    sizes = per_root.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "mark")).alias("top")).where(F.col("n") > F.col("top.c"))
+    blocks = sizes.select("key", F.col("top.mark").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("a"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("b"))
+    placed = rooted.join(blocks, "key").withColumn("minor", F.col("mark") != F.col("top"))
+    own_a, own_b = (F.pmod(F.xxhash64("id", F.lit(name)), F.col(name)).cast("int") for name in ("a", "b"))
+    rows = placed.select("key", own_a.alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"), F.lit(0).alias("side"), "minor", "id", "mark")
+    seconds = placed.where(F.col("minor") & (F.col("a") * F.col("b") > 1))
+    seconds = seconds.select("key", F.explode(F.sequence(F.lit(0), F.col("a") - 1)).alias("i"), own_b.alias("j"), F.lit(1).alias("side"), "minor", "id", "mark")
+    # two classes of one half digest that have unlike roots are told apart by the mark
+    return rows.unionAll(seconds).join(marked, ["id", "mark"]).select(*CELL).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _outside(info: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What these classes can share with classes of other components, by their shingles: two stored tables.
+
+    Shingles that occur in one component alone can't be in both classes of a pair that is still looked
+    for. Of the others, those of at most RARE classes name the pairs that have them in common, few for
+    each; (cls, hub, n) counts them. The rest are counted in (cls, common). So a pair shares at most
+    the lesser of its two `common`, and its own n. Shingles are compared by hash, which can only make
+    both larger.
+    """
+    rows = texts.join(info.select("cls", F.xxhash64("root").alias("mark")), "cls").select("cls", "mark", "text").mapInArrow(shingle_rows, "shingle long, mark long, cls binary")
+    rows = stored(rows, "shingles")
+    spread = rows.groupBy("shingle").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count(F.lit(1)).alias("c")).where("a <> b").select("shingle", "c")
+    both = stored(rows.join(spread, "shingle"), "outside")
+    common = stored(both.where(F.col("c") > RARE).groupBy("cls").agg(F.count(F.lit(1)).alias("common")), "common")
+    lists = both.where(F.col("c") <= RARE).groupBy("shingle").agg(F.collect_list(F.struct("cls", "mark")).alias("x"))
+    pairs = lists.select(F.explode("x").alias("u"), "x").select("u", F.explode("x").alias("v")).where("u.mark <> v.mark and u.cls > v.cls")
+    pairs = stored(pairs.groupBy(F.col("u.cls").alias("cls"), F.col("v.cls").alias("hub")).agg(F.count(F.lit(1)).alias("n")), "rare")
+    discard(rows, both)
+    return common, pairs
+
+
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cls, mark, text) in, a row for each distinct shingle out."""
+    for batch in batches:
+        for rows, data, bounds in chunks(batch):
+            sets = shingle_sets(data, bounds)
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), rows.column(1).take(at), rows.column(0).take(at)], names=["shingle", "mark", "cls"])
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -311,47 +338,77 @@ def classes(documents: DataFrame) -> DataFrame:
     2. In every band's bucket each class is paired with the bucket's least class; pairs that share
        several bands and are likely by their sketches are verified on the full sets. Links so far
        give components.
-    3. In buckets that still hold several components, the most similar pairs of each component that
-       haven't been tried are verified, as long as that links many.
-    4. At last all likely pairs of unlike components in a bucket are verified. So every pair that
-       shares a band is in one component, or ruled out by its sketches, or verified.
+    3. In buckets that still hold several components, each class names its most similar partner of
+       another component. Classes that name none are done. Of each component the most similar pairs
+       are verified, as long as that links many.
+    4. Of the classes that remain the shingles that occur in another component too are counted, and
+       pairs that share rare ones are named: what can't reach a link by these counts is done.
+    5. At last all likely pairs of unlike components are verified. So every pair that shares a band is
+       in one component, or ruled out by its sketches or by shingles it can't share, or verified.
     """
+    spark = documents.sparkSession
     signed = stored(documents.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
-    distinct = stored(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("small").alias("small"), F.first("large").alias("large")).withColumn("id", _id("cls")), "classes")
-    keys = distinct.select("cls", "small", "large").mapInArrow(bands, "key long, id long")
+    distinct = stored(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large")).withColumn("id", _id("cls")), "classes")
+    keys = stored(distinct.select("cls", "small", "large").mapInArrow(bands, "key long, id long"), "keys")
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub")
     shared = stored(keys.join(hubs, "key"), "shared")
-    release(documents.sparkSession)
-    tried = stored(_promising(distinct, shared), "pairs")
-    release(documents.sparkSession)
+    discard(keys)
+    scratch = [distinct, shared]
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        scratch.append(stored(df, label))
+        return scratch[-1]
+
+    tried = keep(_promising(distinct, shared), "pairs")
     links = _verified(documents, distinct, tried)
+    scratch.append(links)
     found = components(links)
-    best_only = True
+    info = distinct.withColumn("common", F.col("n"))
+    rows, named, every, first = shared.select("key", "id"), None, False, True
     while True:
-        likely_pairs = _cells(distinct, shared, found).mapInArrow(lambda b, o=best_only: across(b, o), PAIRS)
-        best = Window.partitionBy("root").orderBy(F.desc("estimate"), "cls", "hub")
-        if best_only:
-            ranked = likely_pairs.groupBy("root", "cls", "hub").agg(F.max("estimate").alias("estimate"))
-            likely_pairs = ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TOP)
-        likely_pairs = likely_pairs.join(tried, ["cls", "hub"], "left_anti")
-        if best_only:
-            likely_pairs = likely_pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= ROUND)
-        more = stored(likely_pairs.select("cls", "hub").distinct(), "pairs")
-        n_more = more.count()
-        release(documents.sparkSession)
-        n_linked = 0
+        here = info.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        pairs = keep(_cells(here, rows).mapInArrow(lambda b, e=every: across(b, e), PAIRS), "likely")
+        pair = F.greatest("cls", "other").alias("cls"), F.least("cls", "other").alias("hub")
+        if every:
+            more = pairs.select(*pair)
+        else:
+            ranked = pairs.select(*pair, "root", "estimate").distinct().join(tried, ["cls", "hub"], "left_anti")
+            best = Window.partitionBy("root").orderBy(F.desc("estimate"), "cls", "hub")
+            more = ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= ROUND)
+        more = more.select("cls", "hub")
+        if named is not None:
+            more, named = more.unionAll(named), None
+        more = keep(more.distinct().join(tried, ["cls", "hub"], "left_anti"), "pairs")
+        n_more, n_linked = more.count(), 0
         if n_more:
             linked = _verified(documents, distinct, more)
+            scratch.append(linked)
             if n_linked := linked.count():
                 links = links.unionAll(linked)
+                discard(found)
                 found = components(links)
-        if not best_only:
+        if every:
             break
-        best_only = n_linked > max(FEW, WORTH * n_more)
+        every = n_linked <= max(FEW, WORTH * n_more)
         tried = tried.select("cls", "hub").unionAll(more)
+        if first:
+            # what names no partner now has none: components only grow
+            first = False
+            active = keep(pairs.select("cls").distinct(), "active")
+            here = distinct.join(active, "cls", "left_semi").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            texts = _texts(documents, distinct, active.withColumn("hub", F.col("cls")))
+            common, rare = _outside(here, texts)
+            scratch += [texts, common, rare]
+            info = keep(distinct.join(active, "cls", "left_semi").join(common, "cls", "left").withColumn("common", F.coalesce("common", F.lit(0))), "info")
+            sizes = info.select("cls", F.col("n").alias("n_cls"), F.col("common").alias("c_cls"))
+            named = rare.join(sizes, "cls").join(sizes.toDF("hub", "n_hub", "c_hub"), "hub")
+            named = named.where((100 + SIMILAR) * (F.least("c_cls", "c_hub") + F.col("n")) >= SIMILAR * (F.col("n_cls") + F.col("n_hub"))).select("cls", "hub")
+            info = info.where(100 * F.col("common") >= SIMILAR * F.col("n"))
+            rows = keep(shared.select("key", "id").join(info.select("id").distinct(), "id", "left_semi"), "shared")
     out = stored(signed.select("doc_id", "n", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root")), "rooted")
-    for table in (signed, distinct, shared):
+    for table in (signed, found, *scratch):
         discard(table)
+    release(spark)
     return out
 
 
@@ -367,17 +424,18 @@ def _texts(documents: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataF
     """(cls, text) of one document of each class in pairs. A filter of the doc_ids keeps most other texts out of the join."""
     needed = pairs.select("cls").unionAll(pairs.select(F.col("hub").alias("cls"))).distinct()
     chosen = stored(distinct.join(needed, "cls", "left_semi").select("cls", F.col("least").alias("doc_id")), "chosen")
-    bits = documents.sparkSession.sparkContext.broadcast(bit_filter(chosen, F.col("doc_id"), FILTER_BITS))
+    bits = documents.sparkSession.sparkContext.broadcast(bit_filter(chosen, F.col("doc_id")))
     asked = documents.select("doc_id", "text").mapInArrow(lambda b: _asked(b, bits.value), "doc_id long, text string")
     named = asked.join(chosen, "doc_id").select("doc_id", "text", "cls").mapInArrow(_of_class, "cls binary, text string")
     nameless = documents.where("doc_id is null").select("text").mapInArrow(_classed, "cls binary, text string").join(chosen.where("doc_id is null").select("cls"), "cls", "left_semi")
-    return stored(named.unionAll(nameless).dropDuplicates(["cls"]), "texts")
+    out = stored(named.unionAll(nameless).dropDuplicates(["cls"]), "texts")
+    discard(chosen)
+    return out
 
 
-def _asked(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], bits: BitFilter) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).fill_null(0).to_numpy()
-        yield batch.filter(pa.array(bits[ids % len(bits)]))
+        yield batch.filter(pa.array(bits.has(batch.column(0).fill_null(0).to_numpy())))
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,6 +471,7 @@ def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(_digests(shingle_sets(data, bounds)), pa.binary())], names=[*rows.schema.names, "__cls"])
 
 
+@apart
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The same columns, and one row of each component: that of the least doc_id. Rows without words all stay.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import U64, bit_filter, byte_values, chunks, discard, powers, prefix_hashes, release, span_hashes, stored
+from seamline.llm.common import U64, BitFilter, bit_filter, byte_values, chunks, discard, powers, prefix_hashes, release, span_hashes, stored
 from seamline.llm.induced_sort import DEPTH, MEMORY, sorted_suffixes
 
 LENGTH, GRAM = DEPTH, 24
@@ -34,7 +34,6 @@ SHARDS = 16 << 20
 PART, BLOCK_BITS = 64 << 20, 1 << 20
 #: Most blocks of the filter; beyond, it lets more through, which costs time but no result.
 BLOCKS = 256
-KEY_BITS = 1 << 22
 #: Stands for a null doc_id, which is greater than any other.
 NO_ID = (1 << 63) - 1
 #: No byte of UTF-8.
@@ -393,21 +392,21 @@ def cut(batches: Iterator[pa.RecordBatch], with_kept: bool, has_covers: bool) ->
             )
 
 
-def _with_key(batches: Iterator[pa.RecordBatch], bits: np.ndarray, passing: bool) -> Iterator[pa.RecordBatch]:
+def _with_key(batches: Iterator[pa.RecordBatch], bits: BitFilter, passing: bool) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) whose text digest passes the filter or doesn't, with the digest."""
     for batch in batches:
         for rows, data, bounds in chunks(batch):
             raw = data.tobytes()
             keys = [hashlib.md5(raw[a:b]).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            mask = pa.array([bool(bits[int.from_bytes(k[:4], "big") % KEY_BITS]) == passing for k in keys], pa.bool_())
+            mask = pa.array(bits.has(np.array([int.from_bytes(k[:4], "big") for k in keys], np.int64)) == passing)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys, pa.binary())], names=["doc_id", "text", "key"]).filter(mask)
 
 
-def _with_uid(batches: Iterator[pa.RecordBatch], bits: np.ndarray, passing: bool) -> Iterator[pa.RecordBatch]:
+def _with_uid(batches: Iterator[pa.RecordBatch], bits: BitFilter, passing: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, bounds in chunks(batch):
             uid = span_hashes(prefix_hashes(_VALUES[data]), bounds[:-1], bounds[1:]).view(np.int64)
-            mask = pa.array(bits[uid % KEY_BITS] == passing)
+            mask = pa.array(bits.has(uid) == passing)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(uid)], names=["doc_id", "text", "uid"]).filter(mask)
 
 
@@ -425,7 +424,7 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     kinds = stored(rows.groupBy(F.unhex(F.md5("text")).alias("key")).agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"), F.min(F.octet_length("text")).alias("size")), "kinds")
     total = kinds.agg(F.sum("size")).first()[0] or 0
     twins = kinds.where("n > 1").select("key", "least")
-    twin_bits = sc.broadcast(bit_filter(twins, F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), KEY_BITS))
+    twin_bits = sc.broadcast(bit_filter(twins, F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")))
     matched = rows.mapInArrow(lambda b: _with_key(b, twin_bits.value, True), "doc_id long, text string, key binary").join(twins, "key", "left")
     is_copy = F.col("least").isNotNull() & (order > F.col("least"))
     copy_size = F.octet_length("text")
@@ -462,7 +461,7 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     records = stored(dealt.mapInArrow(resolve, OCCURRENCES), "resolved")
     release(spark)
     unlike = records.where("gram is not null").groupBy("doc", "uid").agg(F.collect_list(F.struct("gram", "digest", "doc", "uid", "start", "n")).alias("records"))
-    unlike_bits = sc.broadcast(bit_filter(records.where("gram is not null").select("uid").distinct(), F.col("uid"), KEY_BITS))
+    unlike_bits = sc.broadcast(bit_filter(records.where("gram is not null").select("uid").distinct(), F.col("uid")))
     asked = searched(lambda b: _with_uid(b, unlike_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
     contents = asked.dropDuplicates(["doc", "uid"]).join(unlike, ["doc", "uid"]).select("text", "records").mapInArrow(contents_of, CONTENTS)
     contents = contents.repartition(shards, "gram").sortWithinPartitions("gram", "digest")
@@ -471,7 +470,7 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     covers = stored(partly.unionAll(wholly).groupBy("doc", "uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "covers")
     discard(records)
     release(spark)
-    cover_bits = sc.broadcast(bit_filter(covers, F.col("uid"), KEY_BITS))
+    cover_bits = sc.broadcast(bit_filter(covers, F.col("uid")))
     plain = searched(lambda b: cut(_with_uid(b, cover_bits.value, False), with_kept, False), CUT)
     some = searched(lambda b: _with_uid(b, cover_bits.value, True), "doc_id long, text string, uid long").withColumn("doc", order)
     some = some.join(covers, ["doc", "uid"], "left").select("doc_id", "text", "covers").mapInArrow(lambda b: cut(b, with_kept, True), CUT)
