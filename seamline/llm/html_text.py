@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +43,8 @@ KIND_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td":
 #: Characters from which a paragraph passes points on; share of the best score that makes a sibling part of the text.
 SHORT, SIBLING = 25, 0.2
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: A comment, a declaration, or a tag, whose attributes may hold > in quotes. Nothing is tried twice: parts are possessive.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 ROOT = 0
 
@@ -55,23 +56,29 @@ class Page:
         self.tag, self.parent, self.attrs = ["#root"], [-1], [{}]
         #: (node, text), or (node, None) where a block begins or ends
         self.events: list[tuple[int, str | None]] = []
+        #: open nodes; for each the places of the nearest fence and of the nearest paragraph that no fence shuts off
+        self.stack, self.fence, self.paragraph = [ROOT], [0], [0]
+        #: places of the open nodes of each kind; headings are of one kind
+        self.places: dict[str, list[int]] = {}
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack, at, end = [ROOT], 0, len(source)
+        at, end, last_close = 0, len(source), source.rfind(">")
         while at < end:
             lt = source.find("<", at)
             if lt < 0:
-                self._text(stack[-1], source[at:])
+                self._text(self.stack[-1], source[at:])
                 break
             if lt > at:
-                self._text(stack[-1], source[at:lt])
-            m = TAG.match(source, lt)
+                self._text(self.stack[-1], source[at:lt])
+            after = source[lt + 1 : lt + 2]
+            # behind the last > there are no tags
+            m = TAG.match(source, lt) if lt < last_close or after in ("!", "?") else None
             if m is None:
                 # an unclosed tag ends at the next >, another < is text
-                close = source.find(">", lt) if source[lt + 1 : lt + 2].isalpha() or source[lt + 1 : lt + 2] == "/" else -1
+                close = source.find(">", lt) if lt < last_close and (after.isalpha() or after == "/") else -1
                 if close < 0:
-                    self._text(stack[-1], "<")
+                    self._text(self.stack[-1], "<")
                     at = lt + 1
                 else:
                     at = close + 1
@@ -81,71 +88,71 @@ class Page:
             if not name:
                 continue
             if m.group(1):
-                self._close(stack, name)
+                self._close(name)
                 continue
-            self._open(stack, name, m.group(3))
+            self._open(name, m.group(3))
             if name in RAW:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.IGNORECASE).search(source, at)
                 stop_at = stop.start() if stop else end
                 if name == "title":
-                    self._text(stack[-1], source[at:stop_at])
+                    self._text(self.stack[-1], source[at:stop_at])
                 at = stop_at
             elif name in VOID or m.group(3).rstrip().endswith("/") and name not in BLOCK:
-                self._pop(stack)
+                self._pop()
 
     def _text(self, node: int, text: str) -> None:
         self.events.append((node, text))
 
-    def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in BLOCK:
-            self._close_paragraph(stack)
+    def _nearest(self, kinds: Iterable[str]) -> int:
+        """Place of the innermost open node of these kinds; 0 if there is none."""
+        return max((found[-1] for k in kinds if (found := self.places.get(k))), default=0)
+
+    def _open(self, name: str, attributes: str) -> None:
+        if name in BLOCK and (place := self.paragraph[-1]):
+            self._cut(place)
         if name in CLOSES:
             kinds, stops = CLOSES[name]
-            for i in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[i]]
-                if tag in stops:
+            while (place := self._nearest(kinds)) > self._nearest(stops):
+                tag = self.tag[self.stack[place]]
+                self._cut(place)
+                if name != "tr" or tag == "tr":
                     break
-                if tag in kinds:
-                    while len(stack) > i:
-                        self._pop(stack)
-                    if name != "tr" or tag == "tr":
-                        break
         found = {}
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
         self.tag.append(name)
-        self.parent.append(stack[-1])
+        self.parent.append(self.stack[-1])
         self.attrs.append(found)
-        stack.append(len(self.tag) - 1)
+        place = len(self.stack)
+        self.stack.append(len(self.tag) - 1)
+        self.fence.append(place if name in FENCES else self.fence[-1])
+        self.paragraph.append(place if name == "p" else 0 if name in FENCES else self.paragraph[-1])
+        self.places.setdefault(_kind(name), []).append(place)
         if name in BLOCK:
-            self.events.append((stack[-1], None))
+            self.events.append((self.stack[-1], None))
         elif name in ("br", "td", "th"):
-            self._text(stack[-1], " ")
+            self._text(self.stack[-1], " ")
 
-    def _pop(self, stack: list[int]) -> None:
-        node = stack.pop()
+    def _pop(self) -> None:
+        node = self.stack.pop()
+        self.fence.pop()
+        self.paragraph.pop()
+        self.places[_kind(self.tag[node])].pop()
         if self.tag[node] in BLOCK:
             self.events.append((node, None))
 
-    def _close_paragraph(self, stack: list[int]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag == "p":
-                while len(stack) > i:
-                    self._pop(stack)
-                return
-            if tag in FENCES:
-                return
+    def _cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self._pop()
+
+    def _close(self, name: str) -> None:
+        place = self._nearest((_kind(name),))
+        if place and (name in FENCES or place > self.fence[-1]):
+            self._cut(place)
+
 
-    def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag == name or tag in HEADINGS and name in HEADINGS:
-                while len(stack) > i:
-                    self._pop(stack)
-                return
-            if tag in FENCES and name not in FENCES:
-                return
+def _kind(name: str) -> str:
+    return "h1" if name in HEADINGS else name
 
 
 def _space(s: str) -> str:
@@ -216,11 +223,6 @@ def main_text(source: str | None) -> str:
     chosen = [False] * n
     if scores:
         best = max(scores, key=lambda i: (scores[i], -i))
-        up = best
-        while up > ROOT and tag[up] not in ("article", "main"):
-            up = parent[up]
-        if up > ROOT:
-            best = up
         least = max(10.0, scores.get(best, 0.0) * SIBLING)
         for i in range(1, n):
             if parent[i] == parent[best] and not bad[i]:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +56,68 @@ def test_awkward_pages(spark):
 def test_any_markup_gives_trimmed_lines(source):
     text = main_text(source)
     assert all(line == " ".join(line.split()) != "" for line in text.split("\n")) if text else True
+
+
+def test_long_broken_pages_take_linear_time():
+    n = 1 << 19
+    shapes = ["<p>a</p><a " + "x" * n, '<a "' * (n // 4), "<a " * (n // 3), "<" * n, "<div>" * (n // 10) + "</section>" * (n // 20), "<b><div>" + "<i>" * (n // 6) + "</b>" * (n // 8)]
+    shapes += ["<div>" * (n // 10) + "<li></li>" * (n // 18), "<p><div>" + "<b>" * (n // 6) + "<hr>" * (n // 8), "<a " + "x " * (n // 2) + ">"]
+    for page in shapes:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 10
+
+
+def test_the_best_container_decides():
+    # an article around a teaser doesn't draw the text's own container away
+    page = f"<body><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div><article><h2><a href=1>Teaser</a></h2><p>Read on.</p></article></div></body>"
+    assert main_text(page) == "\n".join([PARAGRAPH] * 3)
+
+
+def brute_scores(root):
+    """Points of each container by the definition: every paragraph to its container and, halved, to the two above."""
+    scores = {}
+
+    def walk(node, above):
+        tag, children = node
+        own = "".join(c for c in children if isinstance(c, str))
+        if tag == "p" and len(own) >= 25:
+            points = 1 + own.count(",") + min(len(own) / 100, 3)
+            for share, up in zip((1.0, 0.5, 0.25), reversed(above)):
+                scores[up] = scores.get(up, 0.0) + points * share
+        for k, c in enumerate(children):
+            if not isinstance(c, str):
+                walk(c, [*above, id(node)])
+
+    walk(root, [])
+    return scores
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.lists(st.integers(0, 6), min_size=1, max_size=4), lambda inner: st.lists(inner, min_size=1, max_size=3), max_leaves=12))
+def test_the_container_with_most_points_is_chosen(shape):
+    def build(x):
+        if isinstance(x, int):
+            return ("p", ["many words of text here, " * x + f"w{x}"])
+        return ("div", [build(y) for y in x])
+
+    def markup(node):
+        return f"<{node[0]}>" + "".join(c if isinstance(c, str) else markup(c) for c in node[1]) + f"</{node[0]}>"
+
+    root = ("body", [build(shape)])
+    scores = brute_scores(root)
+    if not scores:
+        return
+
+    def nodes(node):
+        yield node
+        for c in node[1]:
+            if not isinstance(c, str):
+                yield from nodes(c)
+
+    bonus = {"div": 5}
+    best = max((n for n in nodes(root) if id(n) in scores), key=lambda n: scores[id(n)] + bonus.get(n[0], 0))
+    top = [n for n in nodes(root) if id(n) in scores and scores[id(n)] + bonus.get(n[0], 0) == scores[id(best)] + bonus.get(best[0], 0)]
+    lines = main_text(markup(root)).split("\n")
+    words = lambda n: [" ".join(t.split()) for p in nodes(n) if p[0] == "p" for t in p[1]]
+    assert any(all(w in lines for w in words(n)) for n in top)
