@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, bit_filter, chunks, flat_texts, stored, word_hashes, word_spans
+from seamline.llm.common import ALNUM, BitFilter, apart, bit_filter, chunks, flat_texts, stored, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A run of digits is looked at from its begin alone: what fails there fails inside.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Distinct texts in which a term has to occur with an entity.
@@ -25,8 +26,6 @@ SUPPORT = 3
 DISCLOSURE = 0.9
 #: From this part on a revealing term is removed, below it is generalised.
 REMOVE = 0.97
-#: Bits of the filters that keep rows which can't matter out of shuffles; what passes is joined exactly.
-FILTER_BITS = 1 << 21
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -59,7 +58,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind, leftmost and not overlapping within the kind; a match that fails its test is dropped."""
     found = {k: [] for k in KINDS}
     found["email"] = emails(text)
-    found["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found["ip"] = [m.span() for m in IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m.group().split("."))]
     found["card"] = [m.span() for m in CARD.finditer(text) if 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
     found["phone"] = [m.span() for m in PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     return found
@@ -74,11 +73,11 @@ def entity(kind: str, value: str) -> int:
     return _hash(f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}")
 
 
-def words_outside(data: np.ndarray, bounds: np.ndarray, spans: list[list[tuple[str, int, int]]], bits: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def words_outside(data: np.ndarray, bounds: np.ndarray, spans: list[list[tuple[str, int, int]]], bits: BitFilter | None = None) -> tuple[np.ndarray, ...]:
     """Row, term, start and end, in characters, of the words of two characters and more that lie outside all base spans of their row; with bits, of those that pass the filter."""
     starts, ends, first = word_spans(data, bounds, ALNUM)
     terms = word_hashes(data, starts, ends).view(np.int64)
-    at = np.arange(len(terms)) if bits is None else np.flatnonzero(bits[terms % FILTER_BITS])
+    at = np.arange(len(terms)) if bits is None else np.flatnonzero(bits.has(terms))
     row = np.searchsorted(first, at, "right") - 1
     before = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
     start, end = before[starts[at]] - before[bounds[row]], before[ends[at]] - before[bounds[row]]
@@ -132,13 +131,13 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def occurrences(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def occurrences(batches: Iterator[pa.RecordBatch], bits: BitFilter) -> Iterator[pa.RecordBatch]:
     """(t, key) for each distinct word of a text that passes the filter."""
     for batch in batches:
         for rows, data, bounds in chunks(batch):
             starts, ends, first = word_spans(data, bounds, ALNUM)
             terms = word_hashes(data, starts, ends).view(np.int64)
-            hit = np.flatnonzero(bits[terms % FILTER_BITS])
+            hit = np.flatnonzero(bits.has(terms))
             row = np.searchsorted(first, hit, "right") - 1
             pairs = np.unique(np.stack([row, terms[hit]], 1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
             raw = data.tobytes()
@@ -169,18 +168,18 @@ def revealing(documents: DataFrame, found: DataFrame, support: int = SUPPORT, di
     at_least = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("least_d_t"))
     possible = stored(pairs.join(at_least, "t").where(part("least_d_t") >= disclosure).drop("least_d_t"), "possible")
     terms = possible.select("t").distinct()
-    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, F.col("t"), FILTER_BITS))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, F.col("t")))
     seen = documents.select("text").mapInArrow(lambda b: occurrences(b, shared.value), "t long, key binary")
     per_term = seen.join(terms, "t", "left_semi").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("d_t"))
     return stored(possible.join(per_term, "t").select("e", "t", part("d_t").alias("part")).where(F.col("part") >= disclosure), "revealing")
 
 
-def places(batches: Iterator[pa.RecordBatch], bits: np.ndarray, everywhere: bool) -> Iterator[pa.RecordBatch]:
+def places(batches: Iterator[pa.RecordBatch], bits: BitFilter, everywhere: bool) -> Iterator[pa.RecordBatch]:
     """(key, t, start, end) of the words outside base spans that pass the filter, in texts with base spans or everywhere."""
     for batch in batches:
         for _, data, bounds in chunks(batch):
             starts, ends, first = word_spans(data, bounds, ALNUM)
-            hit = np.flatnonzero(bits[word_hashes(data, starts, ends).view(np.int64) % FILTER_BITS])
+            hit = np.flatnonzero(bits.has(word_hashes(data, starts, ends).view(np.int64)))
             some = np.unique(np.searchsorted(first, hit, "right") - 1)
             raw = data.tobytes()
             parts = [raw[bounds[r] : bounds[r + 1]] for r in some]
@@ -195,7 +194,7 @@ def places(batches: Iterator[pa.RecordBatch], bits: np.ndarray, everywhere: bool
 def term_spans(documents: DataFrame, reveals: DataFrame, everywhere: bool) -> DataFrame:
     """(key, terms): by text digest, the spans of all occurrences of terms that reveal some entity; `part` is the largest of a term."""
     worst = reveals.groupBy("t").agg(F.max("part").alias("part"))
-    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(worst, F.col("t"), FILTER_BITS))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(worst, F.col("t")))
     found = documents.select("text").mapInArrow(lambda b: places(b, shared.value, everywhere), "key binary, t long, start int, end int")
     spans = found.join(worst, "t").groupBy("key", "start", "end").agg(F.max("part").alias("part"))
     return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "part"))).alias("terms"))
@@ -235,7 +234,7 @@ def sanitised(text: str, spans: list[tuple[str, int, int]], terms: list[dict]) -
     return "".join([*out, text[at:]])
 
 
-def _sanitise(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _sanitise(batches: Iterator[pa.RecordBatch], bits: BitFilter | None) -> Iterator[pa.RecordBatch]:
     """Without bits: rows come with their terms. With bits: rows that pass the filter are left out, the others have no terms."""
     for batch in batches:
         for rows, texts, spans, keys in _with_spans(batch):
@@ -243,22 +242,23 @@ def _sanitise(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Ite
             terms = rows.column(rows.schema.get_field_index("__terms")).to_pylist() if bits is None else [None] * rows.num_rows
             new = [sanitised(texts[r].as_py(), s, terms[r] or []) if s or terms[r] else texts[r].as_py() for r, s in enumerate(spans)]
             out = pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if rows.schema.names[i] == "text" else rows.column(i) for i in keep], names=[rows.schema.names[i] for i in keep])
-            yield out if bits is None else out.filter(pa.array([not bits[_key_bit(k)] for k in keys], pa.bool_()))
+            yield out if bits is None else out.filter(pa.array(~bits.has(_numbers(keys))))
 
 
-def _key_bit(key: bytes) -> int:
-    return int.from_bytes(key[:4], "big") % FILTER_BITS
+def _numbers(keys: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(k[:4], "big") for k in keys], np.int64)
 
 
-def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _passing(batches: Iterator[pa.RecordBatch], bits: BitFilter) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, bounds in chunks(batch):
             raw = data.tobytes()
             keys = [hashlib.md5(raw[bounds[r] : bounds[r + 1]]).digest() for r in range(rows.num_rows)]
-            mask = pa.array([bool(bits[_key_bit(k)]) for k in keys], pa.bool_())
+            mask = pa.array(bits.has(_numbers(keys)))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(keys, pa.binary())], names=[*rows.schema.names, "__key"]).filter(mask)
 
 
+@apart
 def sanitise(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     """The same rows and columns, with personal data and the terms that reveal it taken out of the texts.
 
@@ -268,7 +268,7 @@ def sanitise(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     found = stored(documents.select("doc_id", "text").mapInArrow(find, FOUND), "found")
     terms = stored(term_spans(documents, revealing(documents, found), everywhere), "terms")
     prefix = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
-    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, prefix, FILTER_BITS))
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, prefix))
     plain = documents.mapInArrow(lambda b: _sanitise(b, shared.value), documents.schema)
     columns = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
     some = documents.mapInArrow(lambda b: _passing(b, shared.value), f"{columns}, __key binary")

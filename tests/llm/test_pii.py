@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,3 +122,13 @@ def test_terms_are_found_in_whole_texts_and_in_all(spark):
         i, text = r["doc_id"], texts[r["doc_id"]]
         assert r["text"] == text if 100 <= i < 400 or i == 401 else "nickname" not in r["text"].lower()
     assert [r["text"] for r in rows if r["doc_id"] == 400] == ["é [TERM] alone, [TERM] again"] * 2  # 8 of 9 texts: log2(210 * 8 / (8 * 9)) / log2(210 / 8) is under REMOVE
+
+
+def test_long_texts_take_linear_time():
+    n = 1 << 20
+    for text in ("0" * 5000 + ".1.1.1", "7" * n, "1.2.3.4 " * (n // 8), "1." * (n // 2), "+1" + "(" * n, "a@" * (n // 2), "4" * 5000 + " 1" * n, "a." * (n // 2) + "@b.c"):
+        began = time.process_time()
+        found = pii.base_spans(text)
+        assert time.process_time() - began < 5
+        if text.endswith(".1.1.1"):
+            assert found["ip"] == [(0, 5006)]
