@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, U64, bit_filter, byte_values, chunks, mix, prefix_hashes, span_hashes, word_spans
+from seamline.llm.common import ALNUM, U64, BitFilter, bit_filter, byte_values, chunks, discard, mix, prefix_hashes, span_hashes, stored, word_spans
+from seamline.llm.common import apart as keeping_columns
 
 #: Symbols of the character model: a to z, any other letter, and the boundary of a word.
 OTHER, EDGE, SYMBOLS = 26, 27, 28
@@ -25,16 +26,15 @@ WILD = 3.5
 TRAINING_ROWS = 8000
 #: Prefixes, in bytes, that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-#: A feature's share of toxic rows counts as if PRIOR rows of the average kind had been seen before. It has to occur in SUPPORT toxic rows.
-PRIOR, SUPPORT = 2.0, 3
+#: Toxic rows that a feature has to occur in.
+SUPPORT = 3
 #: Hash functions under which near copies are found among the toxic training rows.
 MINIMA = 3
 #: Features that would pass by chance, of all that are tried.
-CHANCE = 0.01
-#: Least share of a feature that is kept, and most features of a model.
-LEAST, FEATURES = 0.15, 200_000
+CHANCE = 0.5
+#: Weight of the squares of the features' weights against the fit.
+RIDGE = 1.0
 THRESHOLD = 0.3
-FILTER_BITS = 1 << 21
 
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _LEET = np.array([chr(b) in LEET for b in range(256)])
@@ -48,7 +48,7 @@ _CHARS = re.escape("".join(LEET))
 RUN = re.compile(
     rf"(?<![^\W_])(?:[a-z{_CHARS}][{re.escape(SEPARATORS)}]+){{3,}}[a-z{_CHARS}](?![^\W_])"  # letters set apart
     rf"|(?<![^\W_])[{_CHARS}]{{0,2}}(?:[^\W\d_]+[{_CHARS}]+)+[^\W\d_]*(?![^\W_])|(?<![^\W_])[{_CHARS}]{{1,2}}[^\W\d_]{{2,}}(?:[{_CHARS}]+[^\W\d_]+)*(?![^\W_])"  # letters and look-alikes
-    r"|[^\W_]*([a-z])\1\1[^\W_]*",  # a letter three times
+    r"|(?<![^\W_])[^\W_]*?([a-z])\1\1[^\W_]*+",  # a letter three times
     re.IGNORECASE,
 )
 #: Look-alikes behind a letter at the end of a run: part of the word, or punctuation and numbers that stay as they are for the cost of one that is left out.
@@ -229,35 +229,90 @@ def with_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(text), *(pa.array([m[k] for m in minima], pa.int64()) for k in range(MINIMA))], names=["text", "digest", *(f"m{k}" for k in range(MINIMA))])
 
 
-def row_counts(batches: Iterator[pa.RecordBatch], model: CharacterModel, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def row_counts(batches: Iterator[pa.RecordBatch], model: CharacterModel, bits: BitFilter | None = None) -> Iterator[pa.RecordBatch]:
     """(feature, rows) of a task, for features that pass the filter."""
     restorer = Restorer(model)
     for batch in batches:
         for _, data, bounds in chunks(batch):
             r, f = features(*restorer.rows(data, bounds))
             if bits is not None:
-                hit = bits[f % FILTER_BITS]
+                hit = bits.has(f)
                 r, f = r[hit], f[hit]
             pairs = np.unique(np.stack([r, f], 1), axis=0) if len(f) else np.zeros((0, 2), np.int64)
             value, n = np.unique(pairs[:, 1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n, pa.int64())], names=["f", "n"])
 
 
+def present(restorer: Restorer, found: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in `found`, which is sorted, of the features that rows have, each once."""
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    r, f = features(*restorer.rows(data, bounds))
+    at = np.minimum(np.searchsorted(found, f), len(found) - 1)
+    hit = found[at] == f
+    pairs = np.unique(np.stack([r[hit], at[hit]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def design(batches: Iterator[pa.RecordBatch], model: CharacterModel, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Columns text and toxic in; toxic and the features of each row out."""
+    restorer = Restorer(model)
+    for batch in batches:
+        for rows, data, bounds in chunks(batch):
+            r, c = present(restorer, found, data, bounds)
+            parts = np.split(c, np.searchsorted(r, np.arange(1, rows.num_rows)))
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(parts, pa.list_(pa.int64()))], names=["toxic", "found"])
+
+
+def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, n: int, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Weights of n features and the constant of a logistic regression on a sparse table of ones, by Newton steps of conjugate gradients."""
+    w = np.zeros(n + 1)
+    penalty = np.append(np.full(n, ridge), 1e-6)
+
+    def forth(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, v[columns], minlength=len(y)) + v[-1]
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, u[rows], minlength=n), u.sum())
+
+    def loss(v: np.ndarray) -> float:
+        z = forth(v)
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * v**2).sum() / 2)
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-forth(w)))
+        gradient = back(p - y) + penalty * w
+        if np.abs(gradient).max() < 1e-7:
+            break
+        curve = p * (1 - p)
+        step, left = np.zeros(n + 1), -gradient
+        direction, size = left.copy(), left @ left
+        for _ in range(2 * n + 20):
+            moved = back(curve * forth(direction)) + penalty * direction
+            a = size / (direction @ moved)
+            step += a * direction
+            left = left - a * moved
+            new = left @ left
+            if new < 1e-18 * (gradient @ gradient):
+                break
+            direction, size = left + new / size * direction, new
+        scale, now = 1.0, loss(w)
+        while scale > 1e-6 and loss(w + scale * step) > now:
+            scale /= 2
+        w = w + scale * step
+    return w[:-1], float(w[-1])
+
+
 class Scorer:
-    """Scores rows by the feature most telling of toxicity."""
+    """Probability that a row is toxic: a logistic model over all features of the restored text."""
 
-    def __init__(self, model: CharacterModel, found: np.ndarray, shares: np.ndarray, base: float) -> None:
-        order = np.argsort(found)
-        self.model, self.found, self.shares, self.base = model, found[order], shares[order], base
+    def __init__(self, model: CharacterModel, found: np.ndarray, weights: np.ndarray, constant: float) -> None:
+        self.model, self.found, self.weights, self.constant = model, found, weights, constant
 
     def scores(self, restorer: Restorer, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        out = np.full(len(bounds) - 1, min(self.base, LEAST) / 2)
-        if len(self.found):
-            r, f = features(*restorer.rows(data, bounds))
-            at = np.minimum(np.searchsorted(self.found, f), len(self.found) - 1)
-            hit = self.found[at] == f
-            np.maximum.at(out, r[hit], self.shares[at[hit]])
-        return out
+        r, c = present(restorer, self.found, data, bounds)
+        z = self.constant + np.bincount(r, self.weights[c], minlength=len(bounds) - 1)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def score_rows(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
@@ -283,9 +338,10 @@ def character_model(documents: DataFrame) -> CharacterModel:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Scorer:
     """A scorer from the labels of at most `rows` rows that aren't held out.
 
-    A feature's toxic count is of toxic rows, of which exact and near copies (a least hash of their
-    five-word sequences in common) count once; its clean count is of clean rows. Only features are used that chance would hardly give a share so far
-    above the base rate. Without labels of both classes nothing scores high.
+    Features are words and prefixes of words of the restored texts, of which those are used that chance
+    would hardly give so large a share of toxic rows. Exact and near copies among the toxic rows (a
+    least hash of their five-word sequences in common) count once. Over them a logistic model is fitted.
+    Without labels of both classes nothing scores high.
     """
     sc = documents.sparkSession.sparkContext
     model = character_model(documents)
@@ -293,44 +349,55 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> S
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()  # at most `rows` rows
     n_toxic = sum(r["toxic"] == 1 for r in sample)
     if not 0 < n_toxic < len(sample):
-        return Scorer(model, np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Scorer(model, np.zeros(0, np.int64), np.zeros(0), -500.0)
     base = n_toxic / len(sample)
     chosen = F.broadcast(documents.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in sample], "doc_id long, toxic int"))
-    texts = documents.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").select("text", "toxic")
+    texts = stored(documents.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").select("text", "toxic"), "labelled")
     shared = sc.broadcast(model)
     apart = texts.where("toxic = 1").select("text").mapInArrow(with_minima, "text string, digest long, " + ", ".join(f"m{k} long" for k in range(MINIMA)))
     for k in range(MINIMA):
         apart = apart.groupBy(f"m{k}").agg(F.min_by(F.struct("text", "digest", *(f"m{j}" for j in range(k + 1, MINIMA))), "digest").alias("row")).select("row.*")
+    apart = stored(apart.select("text", F.lit(1).alias("toxic")), "apart")
     toxic = apart.select("text").mapInArrow(lambda b: row_counts(b, shared.value), "f long, n long").groupBy("f").agg(F.sum("n").alias("c")).where(F.col("c") >= SUPPORT)
-    toxic = toxic.persist()
-    bits = bit_filter(toxic, F.col("f"), FILTER_BITS)
-    passing = sc.broadcast(bits)
-    clean = texts.where("toxic <> 1").select("text").mapInArrow(lambda b: row_counts(b, shared.value, passing.value), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    toxic = stored(toxic, "toxic")
+    passing = sc.broadcast(bit_filter(toxic, F.col("f")))
+    others = texts.where("toxic <> 1").select("text", F.lit(0).alias("toxic"))
+    clean = others.select("text").mapInArrow(lambda b: row_counts(b, shared.value, passing.value), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
     tried = toxic.count()
     n = F.col("c") + F.coalesce("n", F.lit(0))
-    share = (F.col("c") + PRIOR * base) / (n + PRIOR)
     raw = F.col("c") / n
     # n times the divergence of the share from the base rate bounds the log of the chance to see it
     surprise = n * (raw * F.log(raw / base) + F.when(raw < 1, (1 - raw) * F.log((1 - raw) / (1 - base))).otherwise(0.0))
     telling = (raw > base) & (surprise >= F.log(F.lit(max(tried, 1) / CHANCE)))
-    best = toxic.join(clean, "f", "left").where(telling).select("f", share.alias("share")).where(F.col("share") >= LEAST).orderBy(F.desc("share"), "f").limit(FEATURES).toArrow()
-    toxic.unpersist()
-    return Scorer(model, best.column("f").to_numpy(), best.column("share").to_numpy(), base)
+    found = np.sort(toxic.join(clean, "f", "left").where(telling).select("f").toArrow().column("f").to_numpy())
+    marks = sc.broadcast(found)
+    # a row of indices for each of at most `rows` texts
+    table = apart.unionAll(others).mapInArrow(lambda b: design(b, shared.value, marks.value), "toxic int, found array<long>").toArrow()
+    lists = table.column("found").to_pylist()
+    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    weights, constant = logistic(at, np.array([c for x in lists for c in x], np.int64), table.column("toxic").to_numpy().astype(np.float64), len(found))
+    discard(texts, apart, toxic)
+    return Scorer(model, found, weights, constant)
 
 
 def with_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of documents and __score, from 0 to 1. Scores depend on the text alone; a null text counts as empty."""
+    """All columns of documents and __score, from 0 to 1. Scores depend on the text alone, so repeated rows score alike; a null text counts as empty."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
     columns = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
     return documents.mapInArrow(lambda b: score_rows(b, shared.value), f"{columns}, __score double")
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: whether it is held out, its score, and the prediction. Repeated rows keep a row each."""
+    """Per document: whether it is held out, its score, and the prediction.
+
+    Null and empty texts have the score of a text without telling words. Repeated rows keep a row each,
+    with equal scores; an empty table gives an empty result; other columns are ignored.
+    """
     rows = with_scores(documents.select("doc_id", "text"), labels)
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@keeping_columns
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under the threshold, with the same columns."""
+    """The documents whose score is under the threshold, with the same columns; repeated rows, nulls and empty texts are judged like any other."""
     return with_scores(documents, labels).where(F.col("__score") < THRESHOLD).drop("__score")

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import numpy as np
@@ -166,3 +167,63 @@ def test_accuracy_on_held_out_rows(spark):
     hit = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
     found = sum(r["predicted"] and r["toxic"] for r in rows) / sum(r["toxic"] for r in rows)
     assert hit > 0.9 and found > 0.8
+
+
+def test_runs_are_found_in_linear_time():
+    n = 1 << 20
+    for shape in ("ab" * (n // 2), "a1" * (n // 2) + "2", "a " * 3 + " " * n + "bb", "a@" * (n // 2) + "2", "@" * n, "7" * n):
+        began = time.process_time()
+        t.suspicious(np.frombuffer(shape.encode(), np.uint8), np.array([0, len(shape)]))
+        for m in t.RUN.finditer(shape):
+            m.group()
+        assert time.process_time() - began < 5
+
+
+def test_the_logistic_model_has_the_least_loss():
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 12)) < 0.2).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - 3 * x[:, 0] - 2 * x[:, 1]))).astype(float)
+    rows, columns = np.nonzero(x)
+    w, c = t.logistic(rows, columns, y, 12)
+    full = np.append(w, c)
+    a = np.hstack([x, np.ones((300, 1))])
+    penalty = np.append(np.full(12, t.RIDGE), 1e-6)
+    # the gradient is zero where the loss is least, as the loss is convex
+    assert np.abs(a.T @ (1 / (1 + np.exp(-a @ full)) - y) + penalty * full).max() < 1e-5
+    assert t.logistic(np.zeros(0, int), np.zeros(0, int), np.array([1.0, 0, 0, 0]), 0)[1] < 0
+
+
+def test_scores_against_brute_force(spark):
+    """Features, choice, fit and scores of the whole query by plain dictionaries."""
+    docs, labels = labelled(spark)
+    table = documents(spark, docs)
+    scorer = t.fit(table, labels)
+    got = {r["doc_id"]: r["score"] for r in t.report(table, labels).collect()}
+
+    def feats(text):
+        words = re.findall("[0-9a-z]+", text.lower())
+        return {("w", x) for x in words} | {(n, x[:n]) for x in words for n in t.PREFIXES if len(x) > n}
+
+    train = [(feats(text), int(i % 5 == 0)) for i, text, *_ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    base = sum(y for _, y in train) / len(train)
+    # no two of these texts have a run of five words in common, so all toxic rows count
+    counts = {f: (sum(f in s and y for s, y in train), sum(f in s for s, _ in train)) for f in set().union(*(s for s, _ in train))}
+    tried = sum(c >= t.SUPPORT for c, _ in counts.values())
+
+    def surprise(c, n):
+        raw = c / n
+        return n * (raw * np.log(raw / base) + ((1 - raw) * np.log((1 - raw) / (1 - base)) if raw < 1 else 0))
+
+    telling = sorted((f for f, (c, n) in counts.items() if c >= t.SUPPORT and c / n > base and surprise(c, n) >= np.log(tried / t.CHANCE)), key=str)
+    assert len(telling) == len(scorer.found)
+    a = np.array([[f in s for f in telling] + [True] for s, _ in train], float)
+    y = np.array([v for _, v in train], float)
+    w = np.zeros(a.shape[1])
+    penalty = np.append(np.full(len(telling), t.RIDGE), 1e-6)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
+    for i, text, *_ in docs:
+        s = feats(text)
+        want = 1 / (1 + np.exp(-(w[:-1] @ [f in s for f in telling] + w[-1])))
+        assert abs(got[i] - want) < 0.05
