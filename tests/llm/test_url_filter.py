@@ -1,6 +1,10 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 
-from seamline.llm.url_filter import BINS, SPAN, Model, count_cells, fit, judge, threshold
+from seamline.llm.url_filter import BINS, FOLDS, ORDER, SHARE, SPAN, judge, threshold
 from tests.llm.helpers import read
 
 
@@ -51,3 +55,54 @@ def test_threshold_is_the_middle_of_the_best_bins():
     h[0, 900], h[1, 1100] = 5, 5
     assert abs(threshold(h) - (1000.5 * 2 * SPAN / BINS - SPAN)) < 0.01
     assert threshold(np.zeros((2, BINS))) == 0
+
+
+def windows(url):
+    u = url or ""
+    b = b"\x02" * ORDER + (u.partition("://")[2] or u).encode() + b"\x03"
+    b = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    return [b[i - ORDER : i + 1] for i in range(ORDER, len(b))]
+
+
+def brute(urls, labelled):
+    """Verdicts without rules: models of plain dictionaries, one context after the other."""
+    fold = lambda u: zlib.crc32((u or "").encode()) % FOLDS
+    grams, contexts = [Counter(), Counter()], [Counter(), Counter()]
+    for u, good in labelled:
+        if fold(u):
+            for w in windows(u):
+                for k in range(ORDER + 1):
+                    grams[good][w[ORDER - k :]] += 1
+                    contexts[good][k, w[ORDER - k : ORDER]] += 1
+
+    def difference(u):
+        total = 0
+        for w in windows(u):
+            p = [1 / 256, 1 / 256]
+            for k in range(ORDER + 1):
+                for good in (0, 1):
+                    p[good] = (grams[good][w[ORDER - k :]] + SHARE * p[good]) / (contexts[good][k, w[ORDER - k : ORDER]] + SHARE)
+            total += math.log(p[1] / p[0])
+        return total / len(windows(u))
+
+    h = np.zeros((2, BINS))
+    for u, good in labelled:
+        if not fold(u):
+            h[int(good), min(max(int((difference(u) + SPAN) * BINS / (2 * SPAN)), 0), BINS - 1)] += 1
+    least = threshold(h)
+    return {u: (difference(u), "allow" if difference(u) >= least else "block") for u in urls}
+
+
+def test_verdicts_against_brute_force(spark):
+    table = read(spark, "pages").select("page_id", "url").limit(120)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "HTTP://É.x/" + "y" * 3000), (-4, "a://"), (-4, "a://")], "page_id long, url string")
+    pages = table.unionAll(extra)
+    rows = judge(pages).collect()
+    labelled = [(r["url"], rule(*parts(r["url"]))) for r in pages.collect() if rule(*parts(r["url"]))]
+    want = brute([r["url"] for r in pages.collect()], [(u, RULES[x] == "allow") for u, x in labelled])
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    assert len(rows) == pages.count()
+    for r in rows:
+        difference, verdict = want[urls[r["page_id"]]]
+        assert abs(difference - r["log_likelihood_difference"]) < 1e-4
+        assert r["rule"] is not None or r["verdict"] == verdict
