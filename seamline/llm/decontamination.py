@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, chunks, prefix_hashes, span_hashes, word_hashes, word_spans
+from seamline.llm.common import ALNUM, apart, chunks, prefix_hashes, span_hashes, word_hashes, word_spans
 
 #: Consecutive words of a window.
 WINDOW = 13
@@ -20,24 +21,37 @@ ADDED = ("__n_words", "__n_hit", "__items", "__spans")
 
 
 class WindowSet:
-    """The windows of some benchmark items: sorted hashes by window length, and the words to verify hits with."""
+    """The distinct windows of some benchmark items: sorted hashes by window length, the words to verify hits with, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW) -> None:
         by_length: dict[int, list[tuple[int, int, int]]] = {}
-        self.ids = [i for i, _ in items]
+        names: dict[bytes, bytes] = {}
+        #: words of one window of each kind, and the ids of the items that hold it
         self.words: list[list[bytes]] = []
+        self.items: list[frozenset[str]] = []
+        texts: list[list[bytes]] = []
         for k, (_, text) in enumerate(items):
             data = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
             raw = data.tobytes().lower()
-            self.words.append([raw[a:b] for a, b in zip(starts, ends, strict=True)])
+            texts.append([names.setdefault(w := raw[a:b], w) for a, b in zip(starts, ends, strict=True)])
             if n := min(window, len(starts)):
                 hashes = windows(word_hashes(data, starts, ends), n)
                 by_length.setdefault(n, []).extend((int(h), k, p) for p, h in enumerate(hashes))
-        self.tables = {}
+        #: for each length the hashes, and the kinds of window of each: one, but for collisions
+        self.tables: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         for n, rows in by_length.items():
             rows.sort()
-            self.tables[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64))
+            known, kinds = [], []
+            for h, same in groupby(rows, lambda r: r[0]):
+                found: dict[tuple[bytes, ...], set] = {}
+                for _, k, p in same:
+                    found.setdefault(tuple(texts[k][p : p + n]), set()).add(items[k][0])
+                known.append(h)
+                kinds.append(list(range(len(self.words), len(self.words) + len(found))))
+                self.words += map(list, found)
+                self.items += [frozenset(x - {None}) for x in found.values()]
+            self.tables[n] = (np.array(known, np.uint64), kinds)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -57,8 +71,8 @@ def scan(batches: Iterator[pa.RecordBatch], found: WindowSet, again: bool) -> It
             hashes = word_hashes(data, starts, ends)
             raw = data.tobytes().lower()
             hit: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[int]] = {}
-            for n, (known, where) in found.tables.items():
+            kinds: dict[int, set[int]] = {}
+            for n, (known, kinds_of) in found.tables.items():
                 here = windows(hashes, n)
                 at = np.searchsorted(known, here)
                 at[at == len(known)] = 0
@@ -67,20 +81,18 @@ def scan(batches: Iterator[pa.RecordBatch], found: WindowSet, again: bool) -> It
                     if p + n > first[row + 1]:
                         continue
                     mine = [raw[a:b] for a, b in zip(starts[p : p + n], ends[p : p + n], strict=True)]
-                    j = int(at[p])
-                    while j < len(known) and known[j] == here[p]:
-                        k, q = where[j]
-                        if found.words[k][q : q + n] == mine:
+                    for kind in kinds_of[at[p]]:
+                        if found.words[kind] == mine:
                             hit.setdefault(row, []).append((int(p), int(p) + n))
-                            items.setdefault(row, set()).add(int(k))
-                        j += 1
+                            kinds.setdefault(row, set()).add(kind)
             old_spans = rows.column(rows.schema.get_field_index("__spans")).to_pylist() if again else None
             old_items = rows.column(rows.schema.get_field_index("__items")).to_pylist() if again else None
             n_words, out_spans, out_items, n_hit = np.diff(first), [], [], []
             for r in range(rows.num_rows):
                 spans = hit.get(r, [])
                 word_runs = union([(a - int(first[r]), b - int(first[r])) for a, b in spans] + ([(s["start"], s["end"]) for s in old_spans[r]] if again else []))
-                names = {found.ids[k] for k in items.get(r, ())} | (set(old_items[r]) if again else set())
+                names = set(old_items[r]) if again else set()
+                names.update(*(found.items[k] for k in kinds.get(r, ())))
                 out_items.append(sorted(names))
                 out_spans.append([{"start": a, "end": b} for a, b in word_runs])
                 n_hit.append(sum(b - a for a, b in word_runs))
@@ -103,10 +115,10 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_sets(benchmark: DataFrame, limit: int = SET_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Benchmark items in lists of about `limit` bytes of text; items are never cut. Repeated items come once."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    part: list[tuple[str, str]] = []
+def item_sets(benchmark: DataFrame, limit: int = SET_BYTES) -> Iterator[list[tuple[str | None, str]]]:
+    """Benchmark items in lists of about `limit` bytes of text; items are never cut. Repeated items come once, items without text never."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    part: list[tuple[str | None, str]] = []
     size = 0
     for row in items.toLocalIterator():
         part.append((row[0], row[1]))
@@ -124,8 +136,11 @@ def mark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_b
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window.
     Hits are found by hash and verified word by word. The set is broadcast in parts of bounded size
     that are applied one after the other in one scan, so that a large benchmark needs no shuffle.
-    Items without an id or text have no windows. Nulls and texts without words have no hits.
+    Items without text have no windows; those of an item without an id hit words, but no id can be named
+    for them. Nulls and texts without words have no hits. Repeated documents have a row each; an empty
+    benchmark hits nothing. Columns of the added names are replaced.
     """
+    documents = documents.drop(*ADDED)
     sc = documents.sparkSession.sparkContext
     plain = [f"`{n}` {t}" for n, t in documents.dtypes]
     added = "__n_words long, __n_hit long, __items array<string>, __spans array<struct<start:int,end:int>>"
@@ -145,7 +160,11 @@ def contaminated(n_hit: str, n_words: str):
 
 
 def decontaminate_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: words, hit words, items with occurring windows (count and digest), and whether it is contaminated."""
+    """Per document: words, hit words, items with occurring windows (count and digest), and whether it is contaminated.
+
+    Null and empty texts have no words and are clean. Repeated rows have a row each; an empty table gives
+    an empty result; other columns are ignored.
+    """
     rows = mark(documents.select("doc_id", "text"), benchmark)
     ids = F.array_join(F.array_sort("__items"), ",")
     return rows.select(
@@ -178,7 +197,11 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if rows.schema.names[i] == "text" else rows.column(i) for i in keep], names=[rows.schema.names[i] for i in keep])
 
 
+@apart
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same columns: contaminated documents go; from others that hold a benchmark window its words are cut out."""
+    """The same columns: contaminated documents go; from others that hold a benchmark window its words are cut out.
+
+    Null and empty texts stay as they are, repeated rows are judged each for itself.
+    """
     rows = mark(documents, benchmark).where(~contaminated("__n_hit", "__n_words"))
     return rows.mapInArrow(cut_spans, documents.schema)
