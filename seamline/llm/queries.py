@@ -81,14 +81,17 @@ QUERIES = {f.__name__: f for f in (op1_weighted_tree_sharding, op2_hyperminhash_
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
-    # the draws of all shards, of which the least (the largest u) wins on each level and so overall; crc32 by its byte table
+    # first points of the four full regions, and the points of a fifth of which only those on its one shard count; crc32 by its byte table
     "op1_weighted_tree_sharding": """WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::bigint)) AS t),
  d AS (SELECT doc_id, coalesce(doc_id::varchar, 'null') AS k, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
- u AS (SELECT r, s, ('0x' || substr(md5(k || '/' || s), 1, 12))::bigint AS u FROM d, range(41) x(s)),
- p AS (SELECT r, arg_max(s, u) FILTER (s < 40) AS shard, arg_max(s, u) AS grown FROM u GROUP BY r),
+ h AS (SELECT r, g, n, md5(k || '/g' || g || '/' || n) AS h FROM d, (SELECT g, 1 AS n FROM range(4) x(g) UNION ALL SELECT 4, n FROM range(1, 65) y(n)) z),
+ m AS (SELECT r, g, n, -ln(('0x' || substr(h, 1, 12))::bigint / 281474976710656.0::double + 1 / 281474976710656.0::double) / 10 AS wait,
+  10 * g + 5 * floor(('0x' || substr(h, 13, 8))::bigint / 4294967296.0::double * 2) + floor(('0x' || substr(h, 21, 8))::bigint / 4294967296.0::double * 5) AS s FROM h),
+ w AS (SELECT r, s, sum(wait) OVER (PARTITION BY r, g ORDER BY n) AS t FROM m),
+ p AS (SELECT r, arg_min(s, t) FILTER (s < 40) AS shard, arg_min(s, t) FILTER (s < 41) AS grown FROM w GROUP BY r),
  c AS (SELECT d.*, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, tab)
  SELECT doc_id, (strlen(text) + 16)::bigint AS size, crc::bigint AS text_crc32, 'key' AS law, shard::int AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 8))::bigint % 1024, doc_id, strlen(text), crc) - 1 AS slot, grown::int AS grown_shard FROM c JOIN p USING (r)""",
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || '/' || (strlen(text) + 16) || '/' || crc), 1, 8))::bigint % 1024, doc_id, strlen(text), crc) - 1 AS slot, grown::int AS grown_shard FROM c JOIN p USING (r)""",
     "op2_hyperminhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),

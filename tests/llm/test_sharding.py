@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -50,3 +52,26 @@ def test_numbering_with_one_hot_key(spark):
 def test_main_path_has_no_python(spark):
     plan = shard_documents(read(spark, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def brute_place(key, n, weights=None):
+    """The first point of any region that falls on a shard there is, looked at point by point."""
+    best = (math.inf, 0)
+    for region in range(-(-n // 10)):
+        t = 0.0
+        for point in range(1, 257):
+            h = hashlib.md5(f"{key}/g{region}/{point}".encode()).hexdigest()
+            part = lambda a, b: int(h[a:b], 16) / 16 ** (b - a)  # noqa: B023, E731
+            t -= math.log(part(0, 12) + 2.0**-48) / 10
+            shard = region * 10 + int(part(12, 20) * 2) * 5 + int(part(20, 28) * 5)
+            if shard < n:
+                best = min(best, (t, shard))
+                break
+    return best[1]
+
+
+def test_against_brute_force_over_points(spark):
+    keys = [r["k"] for r in spark.range(300).selectExpr("id as k").collect()]
+    for n in (1, 3, 10, 17, 40, 41):
+        got = {r["k"]: r["s"] for r in place(spark.range(300).selectExpr("id as k", "id as __best"), "k", n, "s").collect()}
+        assert got == {k: brute_place(k, n) for k in keys}
