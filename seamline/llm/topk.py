@@ -133,7 +133,7 @@ def candidates(batches: Iterator[pa.RecordBatch], queries: dict, k: int) -> Iter
             flush()
     flush()
     for d, (ids, _) in queries.items():
-        rows = [(int(q), i, -s) for q, r in zip(ids, best[d].rows, strict=True) for s, i in r]
+        rows = [(int(q), i, max(-(1 << 63), min((1 << 63) - 1, -s))) for q, r in zip(ids, best[d].rows, strict=True) for s, i in r]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -166,7 +166,9 @@ def top_k(embeddings: DataFrame, every: int = 100, k: int = 10, block_bytes: int
     Components are floor(1024 * x). Vectors are dealt by length, so that a task holds a range of
     lengths and equal vectors are spread; each task keeps k rows a query, which are then merged.
     Null, empty-id or non-finite vectors take no part; vectors meet those of equal dimension alone.
-    Ties go to the smaller vec_id. Rows that share the query's vec_id count as its own.
+    Ties go to the smaller vec_id. A score outside a long's range is its end, after the ranking inside a
+    task; between tasks such scores are ties. Repeated rows come each; an empty table gives an empty
+    result; other columns are ignored. Rows that share the query's vec_id count as its own.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings)
