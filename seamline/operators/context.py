@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seamline.functions import text
+
 SECTIONS = ("definitions", "usages", "deps", "tests", "config", "docs")
 # Rows that a section holds before the rest counts as overflow.
 CAPS = {"full": (8, 8, 5, 4, 4, 3), "edit_minimal": (8, 6, 4, 1, 2, 0)}
@@ -104,6 +106,26 @@ def source_range(content: Column, first: Column, last: Column, most: int = 40) -
     return F.when(last - first + 1 > most, F.concat(taken, F.lit("\n..."))).otherwise(taken)
 
 
+def source_at(rows: DataFrame, files: DataFrame, workspace: DataFrame | None = None, most: int = 40) -> DataFrame:
+    """Add `snippet`: lines line_start to line_end of each row's file as its ref has it (files: path, content, and repo and ref where both tables have them), else as the workspace has it, else `fallback`.
+
+    Cut after `most` lines with a mark; without white space around it; null if nothing is left.
+    """
+    scope = [c for c in ("repo", "ref") if c in rows.columns and c in files.columns]
+    joined = rows.join(files.select(*scope, "path", F.col("content").alias("__content")), [*scope, "path"], "left")
+    content = F.col("__content")
+    if workspace is not None:
+        joined = joined.join(workspace.select("path", F.col("content").alias("__plain")), "path", "left")
+        content = F.coalesce("__content", "__plain")
+    lines = text.lines(content)
+    last = F.least(F.col("line_end"), F.size(lines))
+    there = (content != "") & (F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")) & (F.col("line_start") <= F.size(lines))
+    taken = F.array_join(F.slice(lines, F.col("line_start"), F.greatest(F.least(last - F.col("line_start") + 1, F.lit(most)), F.lit(0))), "\n")
+    cut = F.when(there, F.when(last - F.col("line_start") + 1 > most, F.concat(taken, F.lit("\n..."))).otherwise(taken))
+    snippet = F.nullif(F.regexp_replace(F.coalesce(cut, "fallback"), r"^\s+|\s+$", ""), F.lit(""))
+    return joined.withColumn("snippet", snippet).drop("__content", "__plain")
+
+
 def source_line(content: Column, line: Column) -> Column:
     return F.trim(F.try_element_at(F.split(content, "\n"), line))
 

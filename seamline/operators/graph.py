@@ -13,66 +13,98 @@ def _best(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def _scope(*tables: DataFrame) -> list[str]:
+    """The columns of SCOPE that all tables have: rows of unlike repositories or refs never meet."""
+    return [c for c in SCOPE if all(c in t.columns for t in tables)]
+
+
+def _spans(symbols: DataFrame, scope: list[str]) -> DataFrame:
+    return symbols.select(*[F.col(c).alias(f"s_{c}") for c in (*scope, "path")], "symbol_id", F.col("line_start").alias("a"), F.col("line_end").alias("b"))
+
+
+def _within(scope: list[str]) -> Column:
+    out = F.col("path") == F.col("s_path")
+    for c in scope:
+        out = out & (F.col(c) == F.col(f"s_{c}"))
+    return out
+
+
 def overlapping_symbol(snippets: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each snippet (snippet_id, path, line_start, line_end) with the symbol that fits its span best: the same range, else the nearest ends, else the shortest."""
-    s = symbols.select("path", F.col("symbol_id"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
-    pairs = snippets.join(s, (snippets["path"] == s["path"]) & (F.col("a") <= F.col("line_end")) & (F.col("line_start") <= F.col("b")), "left").drop(s["path"])
+    scope = _scope(snippets, symbols)
+    pairs = snippets.join(_spans(symbols, scope), _within(scope) & (F.col("a") <= F.col("line_end")) & (F.col("line_start") <= F.col("b")), "left")
     off = F.abs(F.col("a") - F.col("line_start")) + F.abs(F.col("b") - F.col("line_end"))
-    return _best(pairs, ["snippet_id"], (off == 0).desc(), off, F.col("b") - F.col("a"), "symbol_id").select("snippet_id", "symbol_id")
+    return _best(pairs, [*scope, "snippet_id"], (off == 0).desc(), off, F.col("b") - F.col("a"), "symbol_id").select(*scope, "snippet_id", "symbol_id")
 
 
 def containing_symbol(snippets: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The shortest symbol around each snippet, else the nearest of its path."""
-    s = symbols.select("path", F.col("symbol_id"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
-    pairs = snippets.join(s, "path", "left")
-    inside = (F.col("a") <= F.col("line_start")) & (F.col("b") >= F.col("line_end"))
+    """The shortest symbol around each snippet, else the nearest of its path. Only snippets that no symbol surrounds are joined with all of a path's symbols."""
+    scope = _scope(snippets, symbols)
+    spans = _spans(symbols, scope)
     off = F.abs(F.col("a") - F.col("line_start")) + F.abs(F.col("b") - F.col("line_end"))
-    return _best(pairs, ["snippet_id"], inside.desc(), F.when(inside, F.col("b") - F.col("a")), off, "symbol_id").select("snippet_id", "symbol_id")
+    around = snippets.join(spans, _within(scope) & (F.col("a") <= F.col("line_start")) & (F.col("b") >= F.col("line_end")), "left")
+    first = _best(around, [*scope, "snippet_id"], F.col("b") - F.col("a"), off, "symbol_id")
+    rest = first.where("symbol_id is null").select(*snippets.columns).join(spans, _within(scope), "left")
+    nearest = _best(rest, [*scope, "snippet_id"], off, "symbol_id")
+    columns = [*scope, "snippet_id", "symbol_id"]
+    return first.where("symbol_id is not null").select(*columns).unionByName(nearest.select(*columns))
 
 
 def enclosing_caller(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """The innermost function or method around each call (call_id, path, line); without one the file itself calls."""
-    s = symbols.where(F.col("kind").isin("function", "method")).select("path", "symbol_id", F.col("line_start").alias("a"), F.col("line_end").alias("b"))
-    pairs = calls.join(s, (calls["path"] == s["path"]) & F.col("line").between(F.col("a"), F.col("b")), "left").drop(s["path"])
-    best = _best(pairs, ["call_id"], F.col("b") - F.col("a"), F.col("a").desc(), "symbol_id")
-    return best.select("call_id", F.coalesce("symbol_id", F.concat(F.lit("file::"), F.col("path"))).alias("caller"))
+    scope = _scope(calls, symbols)
+    pairs = calls.join(_spans(symbols.where(F.col("kind").isin("function", "method")), scope), _within(scope) & F.col("line").between(F.col("a"), F.col("b")), "left")
+    best = _best(pairs, [*scope, "call_id"], F.col("b") - F.col("a"), F.col("a").desc(), "symbol_id")
+    return best.select(*scope, "call_id", F.coalesce("symbol_id", F.concat(F.lit("file::"), F.col("path"))).alias("caller"))
 
 
 def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """The symbol each call's target (call_id, target) means: by qualified name, else by the last part of the name; the first in order of name, path, line."""
+    scope = _scope(calls, symbols)
     order = ["qualified_name", "path", "line_start", "symbol_id"]
-    by_qualified = _best(symbols, ["qualified_name"], *order).select(F.col("qualified_name").alias("target"), F.col("symbol_id").alias("exact"))
-    by_name = _best(symbols, ["name"], *order).select(F.col("name").alias("tail"), F.col("symbol_id").alias("loose"))
-    rows = calls.withColumn("tail", F.regexp_extract("target", "([^.:]*)$", 1)).join(by_qualified, "target", "left").join(by_name, "tail", "left")
-    return rows.select("call_id", "target", F.coalesce("exact", "loose").alias("callee"))
+    by_qualified = _best(symbols, [*scope, "qualified_name"], *order).select(*scope, F.col("qualified_name").alias("target"), F.col("symbol_id").alias("exact"))
+    by_name = _best(symbols, [*scope, "name"], *order).select(*scope, F.col("name").alias("tail"), F.col("symbol_id").alias("loose"))
+    rows = calls.withColumn("tail", F.regexp_extract("target", "([^.:]*)$", 1)).join(by_qualified, [*scope, "target"], "left").join(by_name, [*scope, "tail"], "left")
+    return rows.select(*scope, "call_id", "target", F.coalesce("exact", "loose").alias("callee"))
 
 
 def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Where each import (import_id, qualified, name, target_path) leads: a symbol by qualified name, by name, or a file of the project; else outside."""
-    by_qualified = _best(symbols, ["qualified_name"], "line_start", "symbol_id").select(F.col("qualified_name").alias("qualified"), F.col("symbol_id").alias("a"))
-    by_name = _best(symbols, ["name"], "line_start", "path", "symbol_id").select("name", F.col("symbol_id").alias("b"))
-    by_path = _best(symbols, ["path"], "line_start", "symbol_id").select(F.col("path").alias("target_path"), F.col("symbol_id").alias("c"))
-    known = files.select(F.col("path").alias("target_path"), F.lit(True).alias("known")).distinct()
-    rows = imports.join(by_qualified, "qualified", "left").join(by_name, "name", "left").join(by_path, "target_path", "left").join(known, "target_path", "left")
+    scope = _scope(imports, symbols, files)
+    by_qualified = _best(symbols, [*scope, "qualified_name"], "line_start", "symbol_id").select(*scope, F.col("qualified_name").alias("qualified"), F.col("symbol_id").alias("a"))
+    by_name = _best(symbols, [*scope, "name"], "line_start", "path", "symbol_id").select(*scope, "name", F.col("symbol_id").alias("b"))
+    by_path = _best(symbols, [*scope, "path"], "line_start", "symbol_id").select(*scope, F.col("path").alias("target_path"), F.col("symbol_id").alias("c"))
+    known = files.select(*scope, F.col("path").alias("target_path"), F.lit(True).alias("known")).distinct()
+    rows = imports.join(by_qualified, [*scope, "qualified"], "left").join(by_name, [*scope, "name"], "left").join(by_path, [*scope, "target_path"], "left").join(known, [*scope, "target_path"], "left")
     found = F.coalesce("a", "b", F.when(F.col("known"), F.col("c")))
     outcome = F.when(found.isNotNull(), "resolved_internal").when(F.col("target_path").isNotNull() & F.col("known").isNull(), "external_reference").otherwise("unresolved")
-    return rows.select("import_id", found.alias("to_symbol_id"), outcome.alias("outcome"))
+    return rows.select(*scope, "import_id", found.alias("to_symbol_id"), outcome.alias("outcome"))
+
+
+def existing_imports(imports: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Imports whose target_path the manifest of their repository and ref knows."""
+    scope = _scope(imports, manifest)
+    return imports.join(manifest.select(*scope, F.col("path").alias("target_path")).distinct(), [*scope, "target_path"], "left_semi")
 
 
 def file_centrality(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Per file: the other files that refer to its symbols, over the greatest such number."""
-    target = symbols.select(F.col("symbol_id").alias("to_symbol_id"), F.col("path").alias("target_path"))
-    cross = edges.where("to_symbol_id is not null and source_file is not null").join(target, "to_symbol_id").where("source_file <> target_path")
-    counts = cross.select("target_path", "source_file").distinct().groupBy("target_path").agg(F.count(F.lit(1)).alias("sources"))
-    most = counts.agg(F.max("sources").alias("most"))
-    return counts.crossJoin(F.broadcast(most)).select(F.col("target_path").alias("path"), "sources", (F.col("sources") / F.col("most")).alias("centrality"))
+    """Per file: the other files that refer to its symbols, over the greatest such number of its repository and ref."""
+    scope = _scope(edges, symbols)
+    target = symbols.select(*scope, F.col("symbol_id").alias("to_symbol_id"), F.col("path").alias("target_path"))
+    cross = edges.where("to_symbol_id is not null and source_file <> ''").join(target, [*scope, "to_symbol_id"]).where("source_file <> target_path")
+    counts = cross.select(*scope, "target_path", "source_file").distinct().groupBy(*scope, "target_path").agg(F.count(F.lit(1)).alias("sources"))
+    most = counts.groupBy(*scope).agg(F.max("sources").alias("most"))
+    # without a scope `most` is one row
+    rated = counts.join(most, scope) if scope else counts.crossJoin(F.broadcast(most))
+    return rated.select(*scope, F.col("target_path").alias("path"), "sources", (F.col("sources") / F.col("most")).alias("centrality"))
 
 
 def references(edges: DataFrame, targets: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges into each target (target_id), with the symbol they come from, or the file, or unknown."""
-    hits = edges.join(targets.select(F.col("target_id").alias("to_symbol_id")).distinct(), "to_symbol_id")
-    source = symbols.select(F.col("symbol_id").alias("from_symbol_id"), F.col("name").alias("from_name"), F.col("path").alias("from_path"))
-    rows = hits.join(source, "from_symbol_id", "left")
+    scope = _scope(edges, targets, symbols)
+    hits = edges.join(targets.select(*scope, F.col("target_id").alias("to_symbol_id")).distinct(), [*scope, "to_symbol_id"])
+    source = symbols.select(*scope, F.col("symbol_id").alias("from_symbol_id"), F.col("name").alias("from_name"), F.col("path").alias("from_path"))
+    rows = hits.join(source, [*scope, "from_symbol_id"], "left")
     label = F.coalesce("from_name", F.when(F.col("from_symbol_id").startswith("file::"), F.regexp_replace("from_symbol_id", "^file::", "")), F.lit("unknown"))
     return rows.withColumn("from_label", label)
 
@@ -82,24 +114,52 @@ def unresolved_references(edges: DataFrame, name: str) -> Column:
     return F.col("to_symbol_id").isNull() & ((F.col("to_name") == name) | F.col("to_name").endswith("." + name) | F.col("to_name").endswith("::" + name))
 
 
-def call_graph(edges: DataFrame, roots: DataFrame, depth: int = 2, direction: str = "callees") -> DataFrame:
-    """(root, symbol, depth): symbols reached over call edges (from_symbol_id, to_symbol_id) in up to `depth` (1 to 5) steps.
+def call_graph(edges: DataFrame, roots: DataFrame, depth: int = 2, direction: str = "callees", limit: int | None = None) -> DataFrame:
+    """Calls reached from each root in up to `depth` (1 to 5) steps: (root, direction, symbol, source_file, source_line, depth, confidence, place, truncated), by repo and ref where all tables have them.
 
-    Breadth first: a symbol is expanded once, where it is reached first, and comes out at its least
-    depth. Each step is one join of the frontier with the edges.
+    Breadth first. A row is a call site: one for each symbol, file, line and depth, calls back into the
+    root or into what was seen before included; a symbol is expanded once, where it is reached first.
+    Rows are numbered in the order they are reached: by depth, by the caller's own place, by file, line
+    and symbol. Beyond `limit` rows of a root and direction none comes out, and `truncated` says so. A
+    root that has reached the limit isn't expanded further. `both` gives callers and callees.
     """
     depth = max(1, min(5, depth))
-    a, b = ("from_symbol_id", "to_symbol_id") if direction == "callees" else ("to_symbol_id", "from_symbol_id")
-    steps = edges.where("to_symbol_id is not null").select(F.col(a).alias("symbol"), F.col(b).alias("next")).distinct()
-    if direction == "both":
-        steps = steps.unionByName(steps.select(F.col("next").alias("symbol"), F.col("symbol").alias("next"))).distinct()
-    seen = roots.select("root", F.col("root").alias("symbol"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for d in range(1, depth + 1):
-        reached = frontier.join(steps, "symbol").select("root", F.col("next").alias("symbol")).distinct()
-        frontier = reached.join(seen.select("root", "symbol"), ["root", "symbol"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
+    scope = _scope(edges, roots)
+    key = [*scope, "root"]
+    calls = edges.where("to_symbol_id is not null")
+    for name, kind in (("source_file", "string"), ("source_line", "int"), ("confidence", "string")):
+        if name not in calls.columns:
+            calls = calls.withColumn(name, F.lit(None).cast(kind))
+    out = None
+    for way in ("callers", "callees") if direction == "both" else (direction,):
+        here, there = ("from_symbol_id", "to_symbol_id") if way == "callees" else ("to_symbol_id", "from_symbol_id")
+        steps = calls.select(*scope, F.col(here).alias("at"), F.col(there).alias("symbol"), "source_file", "source_line", "confidence")
+        expanded = roots.select(*key, F.col("root").alias("symbol")).distinct()
+        frontier = expanded.select(*key, F.col("symbol").alias("at"), F.lit(0).cast("long").alias("before"))
+        rows = None
+        for d in range(1, depth + 1):
+            site = Window.partitionBy(*key, "symbol", "source_file", "source_line").orderBy("before", "confidence")
+            order = ["before", "source_file", "source_line", "symbol"]
+            reached = frontier.join(steps, [*scope, "at"]).withColumn("__n", F.row_number().over(site)).where("__n = 1")
+            reached = reached.withColumn("before", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
+            reached = reached.select(*key, "symbol", "source_file", "source_line", "confidence", "before", F.lit(d).alias("depth"))
+            rows = reached if rows is None else rows.unionByName(reached)
+            if d < depth:
+                new = reached.groupBy(*key, "symbol").agg(F.min("before").alias("before"))
+                if limit is not None:
+                    done = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+                    new = new.join(done, key, "left_anti")
+                new = new.join(expanded, [*key, "symbol"], "left_anti")
+                expanded = expanded.unionByName(new.select(*key, "symbol"))
+                frontier = new.select(*key, F.col("symbol").alias("at"), "before")
+        placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("depth", "before"))).drop("before")
+        if limit is None:
+            placed = placed.withColumn("truncated", F.lit(False))
+        else:
+            placed = placed.where(F.col("place") <= limit + 1).withColumn("truncated", F.max("place").over(Window.partitionBy(*key)) > limit).where(F.col("place") <= limit)
+        placed = placed.select(*key, F.lit(way).alias("direction"), "symbol", "source_file", "source_line", "depth", "confidence", "place", "truncated")
+        out = placed if out is None else out.unionByName(placed)
+    return out
 
 
 def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
@@ -114,19 +174,63 @@ def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
     return out.select("symbol_id", "ancestor", "depth")
 
 
-def related(symbols: DataFrame, anchors: DataFrame, imports: DataFrame, limit: int) -> DataFrame:
-    """Symbols near each anchor (anchor_id): of its file, its folder, its top folder, and those that it imports; the closest relation counts."""
-    a = anchors.join(symbols, anchors["anchor_id"] == symbols["symbol_id"]).select("anchor_id", F.col("path").alias("a_path"))
+def _folders(path: Column) -> Column:
+    """All folders around a path, each with a slash at its end."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+
+
+def _ringed(symbols: DataFrame, own: DataFrame, scope: list[str], outer, inner, limit: int, priority: int) -> DataFrame:
+    """The first `limit` symbols of each anchor's outer folder that don't lie in its inner folder or file.
+
+    A folder's symbols are ranked once, by path and line; those of an inner folder or file are one
+    stretch of it. So an anchor asks for `limit` ranks around that stretch, and no more rows are joined,
+    however large the folder.
+    """
+    inside = symbols.where(F.col("path").contains("/")).withColumn("__in", _folders(F.col("path")))
+    ranked = inside.select(*scope, "symbol_id", "path", "line_start", "__in", F.explode("__in").alias("g"))
+    wanted = own.select(*scope, outer("a_path").alias("g"), inner("a_path").alias("inner")).where("g <> ''").distinct()
+    ranked = ranked.join(wanted.select(*scope, "g").distinct(), [*scope, "g"], "left_semi")
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*scope, "g").orderBy("path", "line_start", "symbol_id")))
+    parts = ranked.select(*scope, "g", "n", F.explode(F.array_append("__in", F.col("path"))).alias("inner"))
+    ranges = parts.groupBy(*scope, "g", "inner").agg(F.min("n").alias("a"), F.max("n").alias("b"))
+    asked = wanted.join(ranges, [*scope, "g", "inner"])
+    few = F.filter(F.sequence(F.lit(1), F.lit(limit)), lambda k: k < F.col("a"))
+    later = F.transform(F.filter(F.sequence(F.lit(1), F.lit(limit)), lambda k: k <= limit - F.size(few)), lambda k: F.col("b") + k)
+    asked = asked.select(*scope, "g", "inner", F.explode(F.concat(few, later)).alias("n"))
+    rows = asked.join(ranked.select(*scope, "g", "n", "symbol_id", "path", "line_start"), [*scope, "g", "n"])
+    mine = own.select(*scope, "anchor_id", outer("a_path").alias("g"), inner("a_path").alias("inner"))
+    return mine.join(rows, [*scope, "g", "inner"]).select(*scope, "anchor_id", "symbol_id", "path", "line_start", F.lit(priority).alias("priority"))
+
+
+def related(symbols: DataFrame, anchors: DataFrame, imports: DataFrame, limit: int, reach: str = "package") -> DataFrame:
+    """Symbols near each anchor (anchor_id), the first `limit` by relation, path and line; the closest relation counts.
+
+    Of its file (0); with reach `module` of its folder and the folders in it (1), and those that it or
+    its file imports (3); with `package` of its top folder too (2). By repo and ref, where there are.
+    """
+    if reach not in ("file", "module", "package"):
+        raise ValueError(f"no such reach: {reach}")
+    scope = _scope(symbols, anchors)
     folder = lambda p: F.regexp_extract(p, r"^(.*/)[^/]*$", 1)
     top = lambda p: F.regexp_extract(p, r"^([^/]*/)", 1)
-    s = symbols.select("symbol_id", "path", "line_start")
-    same_file = a.join(s, F.col("a_path") == F.col("path")).select("anchor_id", "symbol_id", "path", "line_start", F.lit(0).alias("priority"))
-    same_folder = a.join(s, (folder(F.col("a_path")) == folder(F.col("path"))) & (F.col("a_path") != F.col("path"))).where(folder(F.col("path")) != "").select("anchor_id", "symbol_id", "path", "line_start", F.lit(1).alias("priority"))
-    same_top = a.join(s, top(F.col("a_path")) == top(F.col("path"))).where(top(F.col("path")) != "").select("anchor_id", "symbol_id", "path", "line_start", F.lit(2).alias("priority"))
-    imported = imports.join(anchors, imports["from_symbol_id"] == anchors["anchor_id"]).join(s, F.col("to_symbol_id") == F.col("symbol_id")).select("anchor_id", "symbol_id", "path", "line_start", F.lit(3).alias("priority"))
-    rows = same_file.unionByName(same_folder).unionByName(same_top).unionByName(imported).where("symbol_id <> anchor_id")
-    first = rows.groupBy("anchor_id", "symbol_id", "path", "line_start").agg(F.min("priority").alias("priority"))
-    order = Window.partitionBy("anchor_id").orderBy("priority", "path", "line_start", "symbol_id")
+    own = anchors.join(symbols.withColumnRenamed("symbol_id", "anchor_id"), [*scope, "anchor_id"]).select(*scope, "anchor_id", F.col("path").alias("a_path"))
+    s = symbols.select(*scope, "symbol_id", "path", "line_start")
+    in_file = s.withColumn("n", F.row_number().over(Window.partitionBy(*scope, "path").orderBy("line_start", "symbol_id"))).where(F.col("n") <= limit + 1)
+    parts = [own.withColumn("path", F.col("a_path")).join(in_file, [*scope, "path"]).select(*scope, "anchor_id", "symbol_id", "path", "line_start", F.lit(0).alias("priority"))]
+    if reach != "file":
+        sources = own.select(*scope, "anchor_id", F.explode(F.array("anchor_id", F.concat(F.lit("file::"), "a_path"))).alias("from_symbol_id"))
+        both = _scope(imports, sources)
+        led = sources.join(imports.select(*both, "from_symbol_id", F.col("to_symbol_id").alias("symbol_id")).distinct(), [*both, "from_symbol_id"])
+        parts.append(_ringed(s, own, scope, folder, F.col, limit, 1))
+        parts.append(led.join(s, [*scope, "symbol_id"]).select(*scope, "anchor_id", "symbol_id", "path", "line_start", F.lit(3).alias("priority")))
+    if reach == "package":
+        parts.append(_ringed(s, own, scope, top, folder, limit, 2))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    first = rows.where("symbol_id <> anchor_id").groupBy(*scope, "anchor_id", "symbol_id", "path", "line_start").agg(F.min("priority").alias("priority"))
+    order = Window.partitionBy(*scope, "anchor_id").orderBy("priority", "path", "line_start", "symbol_id")
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
@@ -135,5 +239,7 @@ def outline(symbols: DataFrame, path: str, top_only: bool = False) -> DataFrame:
     return (rows.where("parent_symbol_id is null") if top_only else rows).orderBy("line_start", "symbol_id")
 
 
-def distinct_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
-    return edges.dropDuplicates(keys)
+def distinct_edges(edges: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One edge of each key: the first in the order given, by default that of all other columns."""
+    rest = order or [c for c in edges.columns if c not in keys]
+    return _best(edges, keys, *rest) if rest else edges.dropDuplicates(keys)

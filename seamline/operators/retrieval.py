@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions import scoring, text
+from seamline.sources.shared import materialised
 
 K1, B = 1.2, 0.75
 
@@ -49,10 +50,28 @@ def top_per_query(scored: DataFrame, limit: int, tie: str = "doc_id") -> DataFra
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+#: Stands among a document's terms for the document itself.
+WHOLE = ""
+
+
+def asked_postings(corpus: DataFrame, doc: str, tokens: Column, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, doc_len, tf) of the terms that some query asks for, and a row of the term WHOLE for each document.
+
+    The corpus is read and tokenised once; what nobody asks for is dropped before anything is shuffled.
+    """
+    wanted = terms.select("term").unionAll(terms.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct()
+    rows = corpus.select(F.col(doc).alias("doc_id"), tokens.alias("tokens"))
+    # explode would have the tokens worked out again for a filter of empty ones
+    rows = rows.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer(F.array_append("tokens", F.lit(WHOLE))).alias("term"))
+    return rows.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def search(corpus: DataFrame, doc: str, tokens: Column, queries: DataFrame, query_id: str, query_tokens: Column, limit: int) -> DataFrame:
-    """Ranked BM25 search of one channel."""
-    scored = bm25(postings(corpus, doc, tokens), corpus_stats(corpus, tokens), query_terms(queries, query_id, query_tokens))
-    return top_per_query(scored, limit)
+    """Ranked BM25 search of one channel. The asked-for postings are written to the shared folder once, and all that follows reads them."""
+    terms = query_terms(queries, query_id, query_tokens)
+    posts = materialised(asked_postings(corpus, doc, tokens, terms), "postings")
+    stats = posts.where(F.col("term") == WHOLE).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("doc_len")) / F.sum("tf")).alias("avg_len"))
+    return top_per_query(bm25(posts.where(F.col("term") != WHOLE), stats, terms.where(F.col("term") != WHOLE)), limit)
 
 
 def fuse(channels: dict[str, DataFrame], weights: DataFrame) -> DataFrame:
@@ -65,7 +84,7 @@ def fuse(channels: dict[str, DataFrame], weights: DataFrame) -> DataFrame:
         part = ranked.select("query_id", F.lit(name).alias("channel"), F.col("doc_id").cast("string").alias("doc_id"), "rank")
         rows = part if rows is None else rows.unionByName(part)
     live = weights.where("weight > 0")
-    return rows.join(F.broadcast(live), ["query_id", "channel"]).withColumn("score", scoring.rrf(F.col("rank"), F.col("weight")))
+    return rows.join(live, ["query_id", "channel"]).withColumn("score", scoring.rrf(F.col("rank"), F.col("weight")))
 
 
 def channel_plan(queries: DataFrame, query_id: str, query: str) -> DataFrame:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Fixed value: lines from which on texts are told apart by their length alone.
+LONGEST = 2000
+
+
 def snapshot_diff(base: DataFrame, head: DataFrame, rename: bool = False) -> DataFrame:
     """(change, path, old_path) between two snapshots (path, content_hash); with `rename`, a deleted and an added file of one content are one rename.
 
@@ -77,7 +83,11 @@ def symbol_changes(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 def compare_symbol(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Each name's first symbol in either ref, side by side: status, what changed, and lines added and removed (by length)."""
+    """Each name's first symbol (by path, line, id) in either ref, side by side: status, what changed, and lines added and removed.
+
+    A symbol whose lines have moved is modified too. Lines are counted by line_delta where both refs have
+    the content, else by length.
+    """
 
     def first(rows: DataFrame, tag: str) -> DataFrame:
         w = Window.partitionBy("name").orderBy("path", "line_start", "symbol_id")
@@ -85,35 +95,63 @@ def compare_symbol(base: DataFrame, head: DataFrame) -> DataFrame:
         return one.select("name", *[F.col(c).alias(f"{c}_{tag}") for c in ("signature", "content", "line_start", "line_end")], F.lit(True).alias(f"in_{tag}"))
 
     rows = first(base, "base").join(first(head, "head"), "name", "full_outer")
-    body = ~F.col("content_base").eqNullSafe(F.col("content_head"))
-    signature = ~F.col("signature_base").eqNullSafe(F.col("signature_head"))
-    status = F.when(F.col("in_base").isNull(), "added").when(F.col("in_head").isNull(), "deleted").when(body | signature, "modified").otherwise("unchanged")
-    size = lambda tag: F.coalesce(F.col(f"line_end_{tag}") - F.col(f"line_start_{tag}") + 1, F.lit(0))
-    return rows.select("name", status.alias("status"), signature.alias("signature_changed"), body.alias("body_changed"), (size("head") - size("base")).alias("line_growth"))
+    both = F.col("in_base").isNotNull() & F.col("in_head").isNotNull()
+    body = ~both | ~F.col("content_base").eqNullSafe(F.col("content_head"))
+    signature = ~both | ~F.col("signature_base").eqNullSafe(F.col("signature_head"))
+    shifted = ~both | (F.col("line_start_base") != F.col("line_start_head")) | (F.col("line_end_base") != F.col("line_end_head"))
+    status = F.when(F.col("in_base").isNull(), "added").when(F.col("in_head").isNull(), "deleted").when(body | signature | shifted, "modified").otherwise("unchanged")
+    span = lambda tag: F.greatest(F.col(f"line_end_{tag}") - F.col(f"line_start_{tag}"), F.lit(0)) + 1
+    alone = lambda tag: F.coalesce(F.nullif(F.size(_lines(F.col(f"content_{tag}"))), F.lit(0)), span(tag))
+    delta = line_delta(F.coalesce("content_base", F.lit("")), F.coalesce("content_head", F.lit("")))
+    known = F.col("content_base").isNotNull() & F.col("content_head").isNotNull()
+    # an empty content has no lines at all
+    counted = lambda n, own: F.when(F.col(f"content_{own}") == "", 0).when((F.col("content_base") == "") | (F.col("content_head") == ""), F.size(_lines(F.col(f"content_{own}")))).otherwise(n)
+    more = span("head") - span("base")
+    added = F.when(F.col("in_base").isNull(), alone("head")).when(F.col("in_head").isNull(), 0).when(known, counted(delta["added"], "head")).otherwise(F.greatest(more, F.lit(0)))
+    removed = F.when(F.col("in_base").isNull(), 0).when(F.col("in_head").isNull(), alone("base")).when(known, counted(delta["removed"], "base")).otherwise(F.greatest(-more, F.lit(0)))
+    return rows.select("name", status.alias("status"), signature.alias("signature_changed"), body.alias("body_changed"), shifted.alias("line_range_shifted"), added.cast("int").alias("lines_added"), removed.cast("int").alias("lines_removed"))
+
+
+def _lines(text: Column) -> Column:
+    """Lines without their ends; a break at the end of the text begins no further line. Null for null."""
+    whole = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n$", "")
+    return F.when(text.isNull(), F.lit(None)).when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n"))
+
+
+def common_length(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence. Rows of the table are bits of one integer, so a line costs one step however long the other text."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << j
+    row = mask = (1 << len(b)) - 1
+    for x in a.tolist():
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & mask
+    return len(b) - row.bit_count()
+
+
+def _delta(base: pd.Series, head: pd.Series) -> pd.DataFrame:
+    def lines(text: str) -> list[str]:
+        parts = text.replace("\r\n", "\n").split("\n")
+        return parts[:-1] if len(parts) > 1 and parts[-1] == "" else parts
+
+    out = []
+    for a, b in zip(map(lines, base), map(lines, head), strict=True):
+        if a == b:
+            out.append((0, 0))
+        elif max(len(a), len(b)) > LONGEST:
+            more = len(b) - len(a)
+            out.append((max(more, 0), max(-more, 0)) if more else (1, 1))
+        else:
+            names = {x: i for i, x in enumerate(dict.fromkeys(a + b))}
+            common = common_length(np.array([names[x] for x in a], int), np.array([names[x] for x in b], int))
+            out.append((len(b) - common, len(a) - common))
+    return pd.DataFrame(out, columns=["added", "removed"])
 
 
 def line_delta(base: Column, head: Column) -> Column:
-    """struct(added, removed) of two texts by their longest common sequence of lines; beyond 2000 lines by length alone."""
-    a, b = F.split(base, "\n"), F.split(head, "\n")
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-
-    def row(before: Column, line: Column) -> Column:
-        # next row of the table of common lengths, from the one before
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda done, j: F.array_append(
-                done,
-                F.when(F.element_at(b, j.cast("int")) == line, F.element_at(before, j.cast("int")) + 1).otherwise(F.greatest(F.element_at(before, (j + 1).cast("int")), F.element_at(done, -1))),
-            ),
-        )
-
-    common = F.element_at(F.aggregate(a, zero, row), -1)
-    plain = F.greatest(F.size(a), F.size(b)) > 2000
-    more = F.size(b) - F.size(a)
-    return F.struct(
-        F.when(plain, F.greatest(more, F.lit(0))).otherwise(F.size(b) - common).alias("added"), F.when(plain, F.greatest(-more, F.lit(0))).otherwise(F.size(a) - common).alias("removed")
-    )
+    """struct(added, removed) of two texts by their longest common sequence of lines; beyond LONGEST lines by length alone, as (1, 1) if that is equal. An empty text counts as one empty line."""
+    return F.pandas_udf(_delta, "struct<added:int,removed:int>")(base, head)
 
 
 def manifest_changes(scanned: DataFrame, manifest: DataFrame) -> DataFrame:

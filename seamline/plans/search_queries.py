@@ -40,7 +40,7 @@ def search_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused, questions = _channels(spark, sf_dir)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "channel", "doc_id")
     rows = fused.withColumn("rank", F.row_number().over(order)).where("rank <= 10").drop("weight")
-    return rows.join(F.broadcast(questions.select("query_id", "intent")), "query_id").select("query_id", "intent", "channel", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return rows.join(questions.select("query_id", "intent"), "query_id").select("query_id", "intent", "channel", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {QUERY_TERMS}, {sql_bm25('d', 'doc_id', DOC_TOKENS, 'documents')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM d_top")
@@ -90,18 +90,20 @@ def nearest_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Labelled vectors with their documents: words of the document of a vector's number are the lexical query.
+BLEND = f"""WITH {NEAREST}, terms AS (SELECT DISTINCT doc_id AS query_id, unnest({DOC_TOKENS}) AS term FROM documents WHERE doc_id IN (SELECT query_id FROM q)), {sql_bm25("d", "doc_id", DOC_TOKENS, "documents")}"""
+
+
 @query(
-    f"""WITH {NEAREST}, lex AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 7919 + query_id) % 1009, vec_id) AS rank FROM (SELECT DISTINCT query_id FROM n) CROSS JOIN (SELECT vec_id FROM embeddings) QUALIFY rank <= 40),
- a AS (SELECT query_id, vec_id, 0.7 / (60 + rank) AS x FROM lex), b AS (SELECT query_id, vec_id, 0.3 / (60 + rank) AS y FROM n)
+    f"""{BLEND}, a AS (SELECT query_id, doc_id AS vec_id, 0.7 / (60 + rank) AS x FROM d_top), b AS (SELECT query_id, vec_id, 0.3 / (60 + rank) AS y FROM n)
  SELECT query_id, vec_id, round(coalesce(x, 0) + coalesce(y, 0), 6) AS score, CASE WHEN x IS NULL THEN 'semantic' WHEN y IS NULL THEN 'lexical' ELSE 'hybrid' END AS provenance FROM a FULL JOIN b USING (query_id, vec_id)"""
 )
 def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    ids = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
-    semantic = vectors.nearest(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10).withColumnRenamed("vec_id", "key")
-    # a stand-in for a lexical branch: forty rows of each query in a fixed order
-    order = Window.partitionBy("query_id").orderBy((F.col("key") * 7919 + F.col("query_id")) % 1009, "key")
-    lexical = ids.crossJoin(v.select(F.col("vec_id").alias("key"))).withColumn("rank", F.row_number().over(order)).where("rank <= 40")
+    v, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    semantic = vectors.nearest(v, asked, 10).withColumnRenamed("vec_id", "key")
+    questions = docs.select(F.col("doc_id").alias("query_id"), "text").join(asked.select("query_id"), "query_id", "left_semi")
+    lexical = retrieval.search(docs, "doc_id", text.default_tokens(F.col("text")), questions, "query_id", text.default_tokens(F.col("text")), 10).withColumnRenamed("doc_id", "key")
     rows = ranking.blend(lexical, semantic, 0.3, 40, 30)
     return rows.select("query_id", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "provenance")
 
@@ -222,3 +224,74 @@ def semantic_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     intent = F.when(F.col("event_type") == "view", "natural_language").otherwise("symbol")
     ratio = F.when(n % 5 == 0, 0.0).otherwise(0.3)
     return table(spark, sf_dir, "events").select("event_id", scoring.semantic_gate(mode, intent, ratio, F.col("value") / 30).alias("gate"))
+
+
+#: Questions against documents: words by BM25, meaning by the vectors of the same numbers; documents as the symbols of these numbers.
+HYBRID = f"""WITH {QUERY_TERMS}, {sql_bm25("d", "doc_id", DOC_TOKENS, "documents")}, {SYMBOLS}, {EDGES}, {RATED},
+ w AS (SELECT item_id AS query_id, text AS query, CASE WHEN regexp_matches(text, 'error:|Error:|panic:|FATAL|exception|Exception|traceback|at line') THEN 'error' WHEN contains(text, '/') OR contains(text, chr(92)) THEN 'path' ELSE 'natural_language' END AS intent FROM benchmark),
+ qv AS (SELECT item_id AS query_id, embedding::double[] AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
+ sem AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qe, embedding::double[]), 9) DESC, vec_id) AS rank FROM qv JOIN w USING (query_id), embeddings WHERE intent = 'natural_language' QUALIFY rank <= 10),
+ bl AS (SELECT query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN max(b.rank) OVER (PARTITION BY query_id) IS NULL THEN 1.0 / (60 + a.rank) ELSE coalesce(0.7 / (60 + a.rank), 0) + coalesce(0.3 / (60 + b.rank), 0) END::double AS score, CASE WHEN a.rank IS NULL THEN 'semantic' WHEN b.rank IS NULL THEN 'lexical' ELSE 'hybrid' END AS provenance FROM (SELECT query_id, doc_id, rank FROM d_top) a FULL JOIN sem b USING (query_id, doc_id)),
+ en AS (SELECT b.*, w.query, s.symbol_id, s.kind, s.name, s.qualified_name, s.visibility, coalesce(s.path, 'src/none.rs') AS path FROM bl b JOIN w USING (query_id) LEFT JOIN symbols s ON s.symbol_id = b.doc_id::varchar),
+ km AS (SELECT *, CASE WHEN kind IS NULL THEN 0 ELSE CASE WHEN kind IN ('struct','class','enum','trait','interface') THEN 2.0 WHEN kind IN ('function','method') THEN 1.6 WHEN kind = 'module' THEN 1.2 WHEN kind IN ('constant','variable') THEN 0.9 ELSE 0.8 END
+   + least(greatest(CASE WHEN kind IN ('class','interface','trait') THEN 0.2 WHEN kind IN ('struct','enum') THEN 0.15 WHEN kind IN ('function','method') THEN 0.1 WHEN kind = 'module' THEN 0.05 WHEN kind = 'type_alias' THEN -0.05 WHEN kind = 'variable' THEN -0.1 ELSE 0 END
+    + CASE WHEN regexp_matches(trim(query), '^\\p{{Lu}}') AND NOT contains(query, '_') AND kind IN ('class','struct','enum','trait','interface','type_alias') THEN 1 WHEN (regexp_matches(trim(query), '^\\p{{Ll}}') OR contains(query, '_')) AND kind IN ('function','method') THEN 0.5 ELSE 0 END, -0.2), 0.2) END AS km,
+   CASE WHEN regexp_matches(path, '_test\\.') THEN -0.5 ELSE 0 END AS tp FROM en),
+ kc AS (SELECT query_id, kind, count(*) AS n FROM km WHERE kind IS NOT NULL GROUP BY ALL), kf AS (SELECT *, sum(n) OVER (PARTITION BY query_id) AS total, n / sum(n) OVER (PARTITION BY query_id) AS f FROM kc), kd AS (SELECT query_id, median(f) AS m FROM kf GROUP BY 1),
+ pr AS (SELECT query_id, kind, CASE WHEN total >= 12 AND m > 1e-9 THEN least(greatest((m - f) / m, -1), 1) * 0.25 ELSE 0 END AS prior FROM kf JOIN kd USING (query_id)),
+ ru AS (SELECT k.*, CASE WHEN provenance = 'semantic' THEN score + least(greatest(km, 0), 3) + tp ELSE score END + 1.0 + least(greatest(km + coalesce(prior, 0) + CASE WHEN visibility = 'pub' THEN 0.05 ELSE 0 END, 0), 3) + tp AS rs FROM km k LEFT JOIN pr ON pr.query_id = k.query_id AND pr.kind = k.kind),
+ src AS (SELECT to_symbol_id, coalesce(source_file, from_symbol_id) AS source, max(confidence_weight) AS w, count(*) AS n, count(*) FILTER (confidence IN ('high', 'medium')) AS sure FROM weighted WHERE to_symbol_id IS NOT NULL GROUP BY 1, 2), st AS (SELECT to_symbol_id, sum(w) AS ws, sum(n) AS te, sum(sure) AS se FROM src GROUP BY 1),
+ bo AS (SELECT r.*, max(ws) OVER (PARTITION BY query_id) AS most, ws, coalesce(se / te, 1.0) AS cov FROM ru r LEFT JOIN st ON st.to_symbol_id = r.symbol_id WHERE kind IS DISTINCT FROM 'variable' AND kind IS NOT NULL),
+ hf AS (SELECT query_id, doc_id, provenance, rs + CASE WHEN most > 0 THEN coalesce(ws / most, 0) * CASE WHEN cov < 0.45 THEN cov / 0.45 ELSE 1 END ELSE 0 END AS score FROM bo),
+ hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hf)"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole way of a search, up to where files are varied: both branches, what hits lack, rules, policy, structure."""
+    from seamline.operators import policy, semantic
+
+    bench, v = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    questions = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).withColumn("intent", scoring.intent(F.col("query"))["intent"])
+    found = retrieval.search(table(spark, sf_dir, "documents"), "doc_id", text.default_tokens(F.col("text")), questions, "query_id", text.default_tokens(F.col("query")), 10)
+    lexical = found.select("query_id", F.col("doc_id").alias("key"), "rank", scoring.rrf(F.col("rank")).alias("score"))
+    gate = scoring.semantic_gate(F.lit("hybrid"), F.col("intent"), F.lit(0.3), F.lit(0.0))
+    asked = questions.join(v.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id").withColumn("gate", gate)
+    near = semantic.search(v, asked, 10).select("query_id", F.col("vec_id").alias("key"), "rank", "score")
+    rows = semantic.hybrid(lexical, near, 0.3, 40, 30).join(questions.select("query_id", "query", "intent"), "query_id")
+    s = symbols(spark, sf_dir)
+    hits = rows.select("*", F.col("key").cast("string").alias("symbol_stable_id"))
+    hits = semantic.enriched(hits, s.withColumn("symbol_stable_id", F.col("symbol_id")))
+    facts = s.select(F.col("symbol_id").alias("symbol_stable_id"), "symbol_id", "path", "visibility")
+    hits = hits.join(facts, "symbol_stable_id", "left").withColumns({"path": F.coalesce("path", F.lit("src/none.rs")), "file_centrality": F.lit(0.0), "result_type": F.lit("symbol"), "result_id": F.col("key"), "snippet": F.lit("")})
+    ruled = ranking.rule_rerank(semantic.adjusted(hits)).withColumn("score", F.col("rule_score"))
+    kept = policy.apply(ruled, policy.Policy(deny_kinds=("variable",))).drop("block_reason")
+    boosted = ranking.structural_boost(kept, ranking.structural_stats(rated_edges(spark, sf_dir)))
+    order = Window.partitionBy("query_id").orderBy(F.round("boosted_score", 9).desc(), "result_id")
+    return boosted.withColumn("score", F.col("boosted_score")).withColumn("rank", F.row_number().over(order)), questions
+
+
+@query(f"{HYBRID} SELECT query_id, doc_id, provenance, round(score, 5) AS score, rank FROM hr WHERE rank <= 10")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship with its semantic branch: the ten best of each question."""
+    rows, _ = _hybrid(spark, sf_dir)
+    return rows.where("rank <= 10").select("query_id", F.col("key").alias("doc_id"), "provenance", F.round("score", 5).alias("score"), "rank")
+
+
+@query(
+    f"""{HYBRID}, a AS (SELECT query_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, count(*) FILTER (rank <= 5) AS n, count(*) FILTER (rank <= 5 AND provenance = 'hybrid') AS h, count(*) FILTER (rank <= 5 AND provenance = 'semantic') AS se, count(*) FILTER (rank <= 5 AND provenance = 'lexical') AS le FROM hr GROUP BY 1),
+ c AS (SELECT w.query_id, CASE WHEN s1 > 0 THEN s1 / (s1 + 1) ELSE 0 END AS top, CASE WHEN s2 IS NULL THEN CASE WHEN s1 > 0 THEN s1 / (s1 + 1) ELSE 0 END WHEN s1 - s2 > 0 THEN (s1 - s2) / (s1 - s2 + 1) ELSE 0 END AS margin, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN h > 0 THEN 0.5 + 0.5 * h / n WHEN se > 0 AND le > 0 THEN 0.4 ELSE 0 END AS ag FROM w LEFT JOIN a USING (query_id))
+ SELECT query_id, round(ag::double, 6) AS channel_agreement, round(least(greatest(0.55 * top + 0.3 * margin + 0.15 * ag, 0), 1), 6) AS composite FROM c"""
+)
+def hybrid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the branches among the first five, and the confidence of each question's results."""
+    rows, questions = _hybrid(spark, sf_dir)
+    c = ranking.confidence(rows, questions)
+    return c.select("query_id", F.round("channel_agreement", 6).alias("channel_agreement"), F.round("composite", 6).alias("composite"))
+
+
+@query()
+def varied_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship to its end: no file crowds out the others among a question's ten results."""
+    rows, _ = _hybrid(spark, sf_dir)
+    near = rows.where("rank <= 30").select("query_id", "rank", "path", "score", "result_id")
+    return ranking.file_diversity(near).where("rank <= 10")

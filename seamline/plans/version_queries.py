@@ -79,9 +79,9 @@ def symbol_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SYMBOLS}, b AS (SELECT * FROM symbols WHERE contains(path, 'brand1') QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, line_start, symbol_id) = 1), h AS (SELECT * FROM symbols WHERE contains(path, 'brand2') QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, line_start, symbol_id) = 1)
- SELECT coalesce(b.name, h.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN h.name IS NULL THEN 'deleted' WHEN b.content IS DISTINCT FROM h.content OR b.signature IS DISTINCT FROM h.signature THEN 'modified' ELSE 'unchanged' END AS status, b.signature IS DISTINCT FROM h.signature AS signature_changed, b.content IS DISTINCT FROM h.content AS body_changed,
-  coalesce(h.line_end - h.line_start + 1, 0) - coalesce(b.line_end - b.line_start + 1, 0) AS line_growth FROM b FULL JOIN h ON b.name = h.name"""
+    f"""WITH {SYMBOLS}, b AS (SELECT * FROM symbols WHERE contains(path, 'brand1') QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, line_start, symbol_id) = 1), h AS (SELECT * FROM symbols WHERE contains(path, 'brand2') QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, line_start, symbol_id) = 1),
+ c AS (SELECT coalesce(b.name, h.name) AS name, b.name IS NULL AS new_, h.name IS NULL AS gone, b.name IS NULL OR h.name IS NULL OR b.signature IS DISTINCT FROM h.signature AS signature_changed, b.name IS NULL OR h.name IS NULL OR b.content IS DISTINCT FROM h.content AS body_changed, b.name IS NULL OR h.name IS NULL OR b.line_start <> h.line_start OR b.line_end <> h.line_end AS line_range_shifted FROM b FULL JOIN h ON b.name = h.name)
+ SELECT name, CASE WHEN new_ THEN 'added' WHEN gone THEN 'deleted' WHEN signature_changed OR body_changed OR line_range_shifted THEN 'modified' ELSE 'unchanged' END AS status, signature_changed, body_changed, line_range_shifted, CASE WHEN gone OR NOT body_changed THEN 0 ELSE 1 END AS lines_added, CASE WHEN new_ OR NOT body_changed THEN 0 ELSE 1 END AS lines_removed FROM c"""
 )
 def symbol_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = symbols(spark, sf_dir)
@@ -93,8 +93,8 @@ def line_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "conversations")
     turns = Window.partitionBy("conv_id").orderBy("turn")
     rows = pages.select("conv_id", "turn", F.lag("text").over(turns).alias("before"), "text").where("before is not null")
-    delta = versions.line_delta(F.col("before"), F.col("text"))
-    return rows.select("conv_id", "turn", delta["added"].alias("added"), delta["removed"].alias("removed"))
+    rows = rows.withColumn("d", versions.line_delta(F.col("before"), F.col("text")))
+    return rows.select("conv_id", "turn", F.col("d.added").alias("added"), F.col("d.removed").alias("removed"))
 
 
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 9 <> 0")
@@ -206,7 +206,7 @@ def source_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5(context.source_range(F.col("text"), F.lit(2), F.lit(3))).alias("range_md5"), context.source_line(F.col("text"), F.lit(1)).alias("line"))
 
 
-RUN = f"""{QUERY_TERMS}, {sql_bm25("d", "doc_id", sql_tokens("text"), "documents")}, tg AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON d.doc_id % 7 = b.item_id % 7 AND d.doc_id < 200),
+RUN = f"""{QUERY_TERMS}, {sql_bm25("d", "doc_id", sql_tokens("text"), "documents")}, tg AS (SELECT item_id AS query_id, doc_id FROM documents JOIN benchmark ON doc_id % (SELECT count(*) FROM benchmark) = item_id),
  run AS (SELECT t.query_id, t.doc_id, rank, source AS path FROM d_top t JOIN documents USING (doc_id)), hit AS (SELECT query_id, doc_id, rank FROM run JOIN tg USING (query_id, doc_id)),
  m AS (SELECT t.query_id, coalesce(first_hit, 0) AS first_hit, coalesce(1.0 / first_hit, 0) AS rr, coalesce(found / targets, 0) AS recall, coalesce(dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(targets, results)::bigint + 1) x(i)), 0) AS ndcg, largest / results AS clustering
   FROM (SELECT query_id, count(DISTINCT doc_id) AS targets FROM tg GROUP BY 1) t LEFT JOIN (SELECT query_id, sum(n) AS results, max(n) AS largest FROM (SELECT query_id, path, count(*) AS n FROM run GROUP BY 1, 2) GROUP BY 1) r USING (query_id)
@@ -220,7 +220,9 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     found = retrieval.search(docs, "doc_id", text.default_tokens(F.col("text")), q, "item_id", text.default_tokens(F.col("query")), 10)
     run = found.join(docs.select("doc_id", F.col("source").alias("path")), "doc_id")
-    targets = q.join(docs.where("doc_id < 200"), F.col("doc_id") % 7 == F.col("item_id") % 7).select(F.col("item_id").alias("query_id"), "doc_id")
+    # every document is judged relevant to one question
+    dealt = docs.select("doc_id").crossJoin(F.broadcast(q.agg(F.count(F.lit(1)).alias("n")))).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"))
+    targets = dealt.join(q.select("item_id"), "item_id").select(F.col("item_id").alias("query_id"), "doc_id")
     return run, targets
 
 
