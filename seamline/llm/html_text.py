@@ -264,5 +264,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Main text of each page, whole; a null or empty html has none. Repeated rows keep a row each; nothing is shuffled."""
+    """Main text of each page, whole; a null or empty html has none.
+
+    Of containers with equal scores the first in the page is taken. Repeated rows keep a row each, null
+    ids and urls pass through, an empty table gives an empty result; other columns are ignored. Nothing
+    is shuffled.
+    """
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

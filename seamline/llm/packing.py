@@ -198,7 +198,8 @@ def pack(documents: DataFrame, path: str | None = None, window: int = WINDOW, en
     whole by the sum-of-squares rule, inside its partition. When a partition ends, its open windows
     are filled up with cuts, so that padding is less than a window for each partition and nothing is
     shuffled. A null text counts as empty: its document is the end id alone. Null or repeated
-    doc_ids keep a piece of their own. Sequence ids are unique, not consecutive.
+    doc_ids keep a piece of their own, also in equal rows. Sequence ids are unique, not consecutive. An
+    empty table gives no pieces; other columns are ignored.
     """
     path = path or tokenizer_path()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids

@@ -223,9 +223,15 @@ def report(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     return rows.select("doc_id", *n.values(), F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.concat("spans", term)).alias("spans"))
 
 
+def kind_of(term: str) -> str:
+    """What a term is, one step up: a number, a code of letters and digits, or a word."""
+    digits = sum(c.isdigit() for c in term)
+    return "[NUMBER]" if digits == len(term) else "[CODE]" if digits else "[TERM]"
+
+
 def sanitised(text: str, spans: list[tuple[str, int, int]], terms: list[dict]) -> str:
     """Base spans by the name of their kind, revealing terms generalised to [TERM] or removed. Overlapping base spans become one."""
-    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(t["start"], t["end"], "" if t["part"] >= REMOVE else "[TERM]") for t in terms]
+    cuts = [(a, b, f"[{k.upper()}]") for k, a, b in spans] + [(t["start"], t["end"], "" if t["part"] >= REMOVE else kind_of(text[t["start"] : t["end"]])) for t in terms]
     out, at = [], 0
     for a, b, name in sorted(cuts):
         if a >= at:
@@ -264,6 +270,9 @@ def sanitise(documents: DataFrame, everywhere: bool = False) -> DataFrame:
 
     Terms are taken out wherever they stand in texts with base spans; with `everywhere`, from all texts.
     Only documents that may hold such terms are joined with them; all others are rewritten in place.
+    Null and empty texts stay; repeated rows have a row each and are rewritten alike; an empty table
+    stays empty. A term that is generalised becomes the name of what it is: [NUMBER] if it is one,
+    [CODE] if letters and digits are mixed, else [TERM].
     """
     found = stored(documents.select("doc_id", "text").mapInArrow(find, FOUND), "found")
     terms = stored(term_spans(documents, revealing(documents, found), everywhere), "terms")

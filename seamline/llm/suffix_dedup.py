@@ -32,8 +32,8 @@ SHARD = 2 << 20
 SHARDS = 16 << 20
 #: Text behind one part of the gram count, and bits of a block of the filter.
 PART, BLOCK_BITS = 64 << 20, 1 << 20
-#: Most blocks of the filter; beyond, it lets more through, which costs time but no result.
-BLOCKS = 256
+#: Most blocks of the filter, 128 MB. Up to 5 GB of text it has a bit for each five bytes; beyond, it lets more through, which costs time but no result.
+BLOCKS = 1024
 #: Stands for a null doc_id, which is greater than any other.
 NO_ID = (1 << 63) - 1
 #: No byte of UTF-8.
@@ -416,6 +416,7 @@ def repeats(documents: DataFrame, with_kept: bool = False, shard: int = SHARD, m
     Strings are judged on the input. Of equal texts all but those of the least doc_id go at once, if
     they have LENGTH bytes; only one text of each kind is searched. A null text counts as empty. A
     null doc_id is greater than any other. Rows that repeat a doc_id don't remove each other.
+    An empty table gives an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext

@@ -132,3 +132,9 @@ def test_long_texts_take_linear_time():
         assert time.process_time() - began < 5
         if text.endswith(".1.1.1"):
             assert found["ip"] == [(0, 5006)]
+
+
+def test_terms_are_generalised_by_what_they_are():
+    terms = lambda *spans: [{"start": a, "end": b, "part": 0.92} for a, b in spans]
+    assert pii.sanitised("abc 12 x9 end", [], terms((0, 3), (4, 6), (7, 9))) == "[TERM] [NUMBER] [CODE] end"
+    assert pii.sanitised("abc end", [], [{"start": 0, "end": 3, "part": 0.99}]) == " end"
