@@ -27,29 +27,29 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go. Nulls and empty texts have no telling words and stay; repeated rows are judged alike; an empty table stays empty."""
     return keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the least doc_id; of rows without a doc_id one only where there is no other. Rows without words all stay; repeated rows are copies."""
     tuned(spark)
     return deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; single benchmark windows in others are cut out."""
+    """Contaminated documents go; single benchmark windows in others are cut out. Nulls and empty texts stay; an empty benchmark changes nothing."""
     return _counted(decontaminate(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and terms that reveal it, are taken out of the texts."""
+    """Personal data, and terms that reveal it, are taken out of the texts. Every row stays, nulls and empty texts as they are."""
     tuned(spark)
     return _counted(sanitise(docs, everywhere=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; a null text is its end token alone, repeated rows are packed each, an empty table gives no pieces."""
     tuned(spark)
     return pack(docs)
 
