@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seamline.functions import scoring, text
-from seamline.operators import context, graph, jobs, policy, ranking, retrieval, versions
+from seamline.operators import context, graph, jobs, policy, ranking, retrieval, semantic, versions
 from seamline.plans.indexing import Index, layered
 
 
@@ -21,56 +21,90 @@ class AmbiguousSymbol(LookupError):
     """Symbols of several files have this name, and no path tells which is meant."""
 
 
+class UnknownTool(LookupError):
+    """No tool has this name."""
+
+
+# Names that tools are called by.
+TOOLS = ("search_code", "locate_symbol", "find_references", "get_call_graph", "get_symbol_hierarchy", "find_related_symbols", "get_file_outline", "get_code_context", "build_context_pack", "explain_ranking", "suggest_followup_queries", "diff_context", "compare_symbol_between_commits", "list_refs", "index_status")
+
+
+def _result_id(channel: str, doc: str):
+    return F.sha2(F.concat_ws("|", channel, doc), 256)
+
+
 class Engine:
     """Search, navigation, comparison and context over the tables of one ref."""
 
-    def __init__(self, index: Index, rules: policy.Policy = policy.Policy(mode="off"), search: scoring.Search = scoring.Search()) -> None:  # noqa: B008
-        self.index, self.rules, self.search = index, rules, search
+    def __init__(self, index: Index, rules: policy.Policy = policy.Policy(mode="off"), search: scoring.Search = scoring.Search(), vectors: DataFrame | None = None) -> None:  # noqa: B008
+        self.index, self.rules, self.search, self.vectors = index, rules, search, vectors
         # texts of plans repeat those of every kept table that they read
         index.symbols.sparkSession.conf.set("spark.sql.maxPlanStringLength", "65536")
 
     def with_overlay(self, top: Index, dead: DataFrame) -> Engine:
         """The same engine as a ref sees it."""
         merged = Index(*(layered(getattr(self.index, n), getattr(top, n), dead) for n in ("files", "symbols", "snippets")), edges=self._edges_of(top, dead))
-        return Engine(merged, self.rules, self.search)
+        return Engine(merged, self.rules, self.search, self.vectors)
 
     def _edges_of(self, top: Index, dead: DataFrame) -> DataFrame:
         rows = layered(self.index.edges.withColumn("path", F.col("source_file")), top.edges.withColumn("path", F.col("source_file")), dead)
         return rows.drop("path")
 
+    def _sources(self) -> dict[str, DataFrame]:
+        return {
+            "symbol": self.index.symbols.withColumn("__doc", F.col("symbol_id")),
+            "snippet": self.index.snippets.withColumn("__doc", F.concat_ws("|", "path", "line_start", "line_end", "chunk_index")),
+            "file": self.index.files.withColumn("__doc", F.col("path")),
+        }
+
+    def _known(self) -> DataFrame:
+        """What results tell of symbols, snippets and files, by result_id."""
+        symbols, snippets, files = self._sources().values()
+        none = lambda *cols: {c: F.lit(None).cast("string") for c in cols}
+        facts = [
+            symbols.withColumns(none("chunk_type", "origin")).withColumns({"channel": F.lit("symbol"), "snippet": F.col("content")}),
+            snippets.withColumns(none("kind", "name", "qualified_name", "visibility")).withColumns({"channel": F.lit("snippet"), "snippet": F.col("content"), "file_centrality": F.lit(0.0)}),
+            files.withColumns(none("kind", "name", "qualified_name", "visibility", "symbol_id", "chunk_type", "origin")).withColumns({"channel": F.lit("file"), "snippet": F.col("content_head"), "file_centrality": F.lit(0.0), "line_start": F.lit(1), "line_end": F.lit(1)}),
+        ]
+        columns = ["channel", F.col("__doc").alias("doc_id"), "path", "line_start", "line_end", "kind", "name", "qualified_name", "visibility", "file_centrality", "symbol_id", "snippet", "chunk_type", "origin"]
+        rows = [f.select(*columns) for f in facts]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("result_id", _result_id("channel", "doc_id"))
+
     def _channels(self, queries: DataFrame) -> DataFrame:
-        """Ranked rows of each channel with their weights: symbols, snippets and files."""
+        """(query_id, result_id, score) of each channel that a query's intent asks for."""
         asked = text.signature_tokens(F.col("query"))
         limit = max(2 * self.search.limit, 20)
-        symbols = self.index.symbols.withColumn("__doc", F.col("symbol_id"))
-        snippets = self.index.snippets.withColumn("__doc", F.concat_ws("|", "path", "line_start", "line_end", "chunk_index"))
-        files = self.index.files.withColumn("__doc", F.col("path"))
         words = lambda *cols: text.signature_tokens(F.concat_ws(" ", *cols))
-        ranked = {
-            "symbol": retrieval.search(symbols, "__doc", words("name", "qualified_name", "signature", "content"), queries, "query_id", asked, limit),
-            "snippet": retrieval.search(snippets, "__doc", words("content"), queries, "query_id", asked, limit),
-            "file": retrieval.search(files, "__doc", words("path", "content_head"), queries, "query_id", asked, limit),
-        }
+        fields = {"symbol": ("name", "qualified_name", "signature", "content"), "snippet": ("content",), "file": ("path", "content_head")}
+        ranked = {name: retrieval.search(rows, "__doc", words(*fields[name]), queries, "query_id", asked, limit) for name, rows in self._sources().items()}
         plan = retrieval.channel_plan(queries, "query_id", "query").select("query_id", "channel", "weight")
-        fused = retrieval.fuse(ranked, plan)
-        none = lambda *cols: {c: F.lit(None).cast("string") for c in cols}
-        facts = [
-            symbols.select(F.lit("symbol").alias("channel"), F.col("__doc").alias("doc_id"), "path", "line_start", "line_end", "kind", "name", "qualified_name", "visibility", "file_centrality", "symbol_id", F.col("content").alias("snippet"), F.lit(None).cast("string").alias("chunk_type"), F.lit(None).cast("string").alias("origin")),
-            snippets.withColumns(none("kind", "name", "qualified_name", "visibility")).select(F.lit("snippet").alias("channel"), F.col("__doc").alias("doc_id"), "path", "line_start", "line_end", "kind", "name", "qualified_name", "visibility", F.lit(0.0).alias("file_centrality"), "symbol_id", F.col("content").alias("snippet"), "chunk_type", "origin"),
-            files.withColumns(none("kind", "name", "qualified_name", "visibility", "symbol_id", "chunk_type", "origin")).select(F.lit("file").alias("channel"), F.col("__doc").alias("doc_id"), "path", F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), "kind", "name", "qualified_name", "visibility", F.lit(0.0).alias("file_centrality"), "symbol_id", F.col("content_head").alias("snippet"), "chunk_type", "origin"),
-        ]
-        known = facts[0].unionByName(facts[1]).unionByName(facts[2])
-        rows = fused.join(known, ["channel", "doc_id"]).join(queries.select("query_id", "query"), "query_id")
-        return rows.withColumn("result_type", F.col("channel")).withColumn("result_id", F.sha2(F.concat_ws("|", "channel", "doc_id"), 256))
+        return retrieval.fuse(ranked, plan).select("query_id", _result_id("channel", "doc_id").alias("result_id"), "score")
+
+    def _candidates(self, queries: DataFrame) -> DataFrame:
+        """Rows of the lexical branch and, where there are vectors of symbols and of the queries (embedding), of the semantic one, with all that is known of them."""
+        found = self._channels(queries).withColumn("provenance", F.lit("lexical"))
+        if self.vectors is not None and "embedding" in queries.columns:
+            order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "result_id")
+            lexical = found.select("query_id", F.col("result_id").alias("key"), "score", F.row_number().over(order).alias("rank"))
+            top = lexical.groupBy("query_id").agg(F.max("score").alias("top"))
+            gate = scoring.semantic_gate(F.lit("hybrid"), scoring.intent(F.col("query"))["intent"], F.lit(self.search.semantic_ratio), scoring.normalised(F.coalesce("top", F.lit(0.0))), self.search)
+            asked = queries.join(top, "query_id", "left").withColumn("gate", gate)
+            rows = self.vectors.select(F.col("symbol_stable_id").alias("vec_id"), F.col("vector").alias("embedding")).where("vec_id is not null")
+            near = semantic.search(rows, asked, max(3 * self.search.limit, 30)).withColumn("channel", F.lit("symbol"))
+            near = near.select("query_id", _result_id("channel", "vec_id").alias("key"), "rank", "score")
+            found = semantic.hybrid(lexical, near, self.search.semantic_ratio, max(4 * self.search.limit, 40), max(3 * self.search.limit, 30)).withColumnRenamed("key", "result_id")
+        rows = found.join(self._known(), "result_id").join(queries.select("query_id", "query"), "query_id")
+        return semantic.adjusted(rows.withColumn("result_type", F.col("channel")))
 
     def search_code(self, queries: DataFrame, role: str | None = None, explain: bool = False, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Ranked results (query_id, rank, score, ...) of queries (query_id, query).
 
-        Channels by intent, rank fusion, budgeted rules, policy, an optional reranker over the fused
+        Channels by intent, rank fusion, the semantic branch where queries come with an `embedding` and
+        the engine has vectors, budgeted rules, policy, an optional reranker over the fused
         rows (it gets and returns them with a column `score`), edges between symbols, removal of
         covered fallbacks, variety of files, and the limit.
         """
-        rows = ranking.rule_rerank(self._channels(queries), explain=explain)
+        rows = ranking.rule_rerank(self._candidates(queries), explain=explain)
         rows = rows.withColumn("score", F.col("rule_score"))
         if role:
             rows = retrieval.retain_role(rows, role)
@@ -95,7 +129,9 @@ class Engine:
     def search_metadata(self, queries: DataFrame, results: DataFrame) -> DataFrame:
         """Intent, confidence and suggested action of each query."""
         asked = queries.withColumn("intent", scoring.intent(F.col("query"))["intent"])
-        return ranking.confidence(results.withColumn("provenance", F.lit("lexical")), asked, self.search.confidence)
+        if "provenance" not in results.columns:
+            results = results.withColumn("provenance", F.lit("lexical"))
+        return ranking.confidence(results, asked, self.search.confidence)
 
     def locate_symbol(self, name: str, kind: str | None = None, role: str | None = None, language: str | None = None, limit: int | None = None) -> DataFrame:
         return retrieval.locate(self.index.symbols, name, kind, role, language, limit=limit or self.search.limit)
@@ -119,9 +155,9 @@ class Engine:
         rows = rows.orderBy("source_file", "source_line", "from_symbol_id")
         return rows.limit(limit) if limit else rows
 
-    def get_call_graph(self, name: str, path: str | None = None, direction: str = "both", depth: int = 1) -> DataFrame:
+    def get_call_graph(self, name: str, path: str | None = None, direction: str = "both", depth: int = 1, limit: int = 20) -> DataFrame:
         root = self.index.symbols.sparkSession.createDataFrame([(self._target(name, path)["symbol_id"],)], "root string")
-        rows = graph.call_graph(self.index.edges.where("edge_type = 'calls'"), root, depth, direction)
+        rows = graph.call_graph(self.index.edges.where("edge_type = 'calls'"), root, depth, direction, limit)
         return rows.join(self.index.symbols.select(F.col("symbol_id").alias("symbol"), "name", "path", "line_start"), "symbol", "left")
 
     def get_symbol_hierarchy(self, name: str, path: str | None = None, direction: str = "ancestors") -> DataFrame:
@@ -177,3 +213,9 @@ class Engine:
     def index_status(self) -> DataFrame:
         counts = [jobs.counts(getattr(self.index, n), ["repo", "ref"]).withColumn("table", F.lit(n)) for n in ("files", "symbols", "snippets", "edges")]
         return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+    def call(self, tool: str, **arguments) -> DataFrame:
+        """A tool by its name; arguments that it doesn't take are an error, as is a name that isn't a tool's."""
+        if tool not in TOOLS:
+            raise UnknownTool(tool)
+        return getattr(self, tool)(**arguments)

@@ -21,7 +21,7 @@ REDACTION_RULES = (
     ("pem_private_key", r"(?s)-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----.*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "[REDACTED:private_key]"),
     ("slack_token", r"\bxox(?:b|p|a|r|s)-[A-Za-z0-9-]{10,48}\b", "[REDACTED:slack_token]"),
 )
-#: Characters that may stand in a token of high entropy, and the least length such a run has.
+# Fixed value: characters that may stand in a token of high entropy, and the least length such a run has.
 ENTROPY_TOKEN = r"[A-Za-z0-9+/=_-]{16,}"
 
 
@@ -154,10 +154,18 @@ def last_segment(name: Column) -> Column:
 
 def shannon_entropy(text: Column) -> Column:
     """Entropy in bits of the byte frequencies."""
-    codes = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), F.lit(1))
-    n = F.size(codes)
-    counts = F.transform(F.array_distinct(codes), lambda b: F.size(F.filter(codes, lambda c: c == b)).cast("double") / n)
-    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
+    # one pass over the sorted bytes: the sum of n log n over the runs of equal ones
+    codes = F.array_sort(F.regexp_extract_all(F.hex(text.cast("binary")), F.lit("(..)"), F.lit(1)))
+    part = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+    begin = F.struct(F.lit("").alias("code"), F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+
+    def step(state: Column, code: Column) -> Column:
+        same = state["code"] == code
+        return F.struct(code.alias("code"), F.when(same, state["n"] + 1.0).otherwise(1.0).alias("n"), F.when(same, state["total"]).otherwise(state["total"] + part(state["n"])).alias("total"))
+
+    n = F.size(codes).cast("double")
+    total = F.aggregate(codes, begin, step, lambda s: s["total"] + part(s["n"]))
+    return F.when(n > 0, F.greatest(F.log2(n) - total / n, F.lit(0.0))).otherwise(0.0)
 
 
 def redact(text: Column, rules=REDACTION_RULES) -> Column:

@@ -176,14 +176,15 @@ def extract(files: DataFrame) -> DataFrame:
 
 
 def symbol_rows(extracted: DataFrame, repo: str, ref: str = "live") -> DataFrame:
-    """Symbols with ids; a parent is the first earlier symbol of that name in the file."""
+    """Symbols with ids. A parent is the innermost symbol of that name around the symbol, else the first earlier one of the file: a type whose methods stand in a block of their own."""
     s = extracted.where("item = 'symbol'").dropDuplicates(["path", "qualified_name", "kind", "line_start"])
     s = s.withColumns({"repo": F.lit(repo), "ref": F.lit(ref)})
     s = s.withColumn("symbol_id", scoring.symbol_id(F.col("repo"), F.col("ref"), F.col("path"), F.col("kind"), F.col("line_start"), F.col("qualified_name")))
     s = s.withColumn("symbol_stable_id", scoring.stable_id(F.col("language"), F.col("kind"), F.col("qualified_name"), F.col("signature")))
-    owners = s.select("path", F.col("name").alias("parent"), F.col("line_start").alias("p_line"), F.col("symbol_id").alias("p_id"))
-    found = s.select("path", "parent", "symbol_id", "line_start").join(owners, ["path", "parent"]).where("p_line < line_start")
-    first = found.groupBy("symbol_id").agg(F.min_by("p_id", F.struct("p_line", "p_id")).alias("parent_symbol_id"))
+    owners = s.select("path", F.col("name").alias("parent"), F.col("line_start").alias("p_line"), F.col("line_end").alias("p_end"), F.col("symbol_id").alias("p_id"))
+    found = s.select("path", "parent", "symbol_id", "line_start", "line_end").join(owners, ["path", "parent"]).where("p_line < line_start")
+    around = F.col("p_end") >= F.col("line_end")
+    first = found.groupBy("symbol_id").agg(F.min_by("p_id", F.struct(F.when(around, 0).otherwise(1), F.when(around, -F.col("p_line")).otherwise(F.col("p_line")), F.col("p_id"))).alias("parent_symbol_id"))
     return s.join(first, "symbol_id", "left").withColumn("visibility", F.lit(None).cast("string"))
 
 

@@ -20,11 +20,13 @@ def with_generations(updates: DataFrame, keys: list[str], order: list[str]) -> D
 
 
 def due(queue: DataFrame, keys: list[str], now: Column, limit: int | None = None) -> DataFrame:
-    """Pending rows of their key's last generation whose time has come, first in first out."""
+    """Pending rows of their key's last generation whose time has come, first in first out; with a limit, of each key the first rows."""
     latest = queue.withColumn("__last", F.max("generation").over(Window.partitionBy(*keys)))
     ready = (F.col("status") == "pending") & (F.col("generation") == F.col("__last")) & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
-    rows = latest.where(ready).drop("__last").orderBy("enqueued_at", "id")
-    return rows if limit is None else rows.limit(limit)
+    rows = latest.where(ready).drop("__last")
+    if limit is None:
+        return rows.orderBy("enqueued_at", "id")
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("enqueued_at", "id"))).where(F.col("__n") <= limit).drop("__n")
 
 
 def retried(failed: DataFrame, now: Column, most: int) -> DataFrame:

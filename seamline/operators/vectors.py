@@ -35,6 +35,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None =
     vectors has (vec_id, embedding), queries (query_id, embedding). Queries come in blocks of bounded
     size; each task keeps k rows a query before anything is shuffled.
     """
+    types = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))]
     cols = ["query_id", "embedding"] + ([scope] if scope else [])
     out, block, size = None, [], 0
 
@@ -61,13 +62,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None =
                         if scopes is not None:
                             same = part[scope].to_numpy() == scopes[j]
                             s, own = s[same], own[same]
-                        top = np.lexsort([own, -np.round(s, 9)])[:k]
-                        rows = held.get(j, []) + list(zip(-np.round(s[top], 9), own[top], s[top], strict=True))
+                        place = np.unique(own, return_inverse=True)[1]
+                        top = np.lexsort([place, -np.round(s, 9)])[:k]
+                        rows = held.get(j, []) + list(zip((-np.round(s[top], 9)).tolist(), own[top].tolist(), s[top].tolist(), strict=True))
                         held[j] = sorted(rows)[:k]
-            rows = [(ids[j], int(i), float(s)) for j, found in held.items() for _, i, s in found]
+            rows = [(ids[j], i, float(s)) for j, found in held.items() for _, i, s in found]
             yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-        return vectors.select("vec_id", "embedding", *([scope] if scope else [])).mapInPandas(best, "query_id long, vec_id long, score double")
+        return vectors.select("vec_id", "embedding", *([scope] if scope else [])).mapInPandas(best, f"query_id {types[0]}, vec_id {types[1]}, score double")
 
     for row in queries.select(*cols).toLocalIterator():
         block.append(row)
@@ -78,7 +80,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, scope: str | None =
     if block:
         out = against(block) if out is None else out.unionByName(against(block))
     if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], f"query_id {types[0]}, vec_id {types[1]}, score double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

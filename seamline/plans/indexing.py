@@ -11,6 +11,7 @@ from seamline.functions import scoring, text
 from seamline.operators import extraction, graph, vectors, versions
 from seamline.sources import files as sources
 from seamline.sources import tables as sinks
+from seamline.sources.shared import materialised
 
 
 @dataclass(frozen=True)
@@ -45,15 +46,16 @@ def _edges(items: DataFrame, symbols: DataFrame, files: DataFrame, repo: str, re
 
 def build(files: DataFrame, repo: str, ref: str = "live") -> Index:
     """All tables of a set of files (path, language, content); files are parsed once."""
-    items = extraction.extract(files).persist()
-    symbols = extraction.symbol_rows(items, repo, ref).persist()
-    edges = _edges(items, symbols, files, repo, ref).persist()
-    central = graph.file_centrality(edges, symbols).select("path", F.col("centrality").alias("file_centrality"))
-    snippets = extraction.snippet_rows(symbols, files).persist()
+    items = materialised(extraction.extract(files), "items")
+    symbols = materialised(extraction.symbol_rows(items, repo, ref), "symbols")
+    edges = materialised(_edges(items, symbols, files, repo, ref), "edges")
+    central = graph.file_centrality(edges, symbols).groupBy("path").agg(F.max("centrality").alias("file_centrality"))
+    snippets = extraction.snippet_rows(symbols, files).withColumns({"repo": F.lit(repo), "ref": F.lit(ref)})
+    snippets = materialised(snippets, "snippets")
     body = snippets.where("chunk_index = 0 and symbol_id is not null").select("symbol_id", F.col("content"))
     symbols = symbols.drop("item", "target", "label", "parent").join(body, "symbol_id", "left").join(central, "path", "left").withColumn("file_centrality", F.coalesce("file_centrality", F.lit(0.0)))
     # every tool reads these several times over
-    return Index(sources.records(files, repo, ref).persist(), symbols.persist(), snippets.withColumns({"repo": F.lit(repo), "ref": F.lit(ref)}).persist(), edges)
+    return Index(materialised(sources.records(files, repo, ref), "files"), materialised(symbols, "symbols"), snippets, edges)
 
 
 def overlay(base_files: DataFrame, head_files: DataFrame, repo: str, ref: str) -> tuple[Index, DataFrame, DataFrame]:
@@ -83,22 +85,25 @@ def embed(index: Index, model: str = "hashed-64", provider=vectors.hashed_embedd
 
 
 def merge_base(commits: DataFrame, a: str, b: str, depth: int = 64) -> str | None:
-    """The nearest common ancestor of two commits over (commit, parent); None if there is none within `depth`."""
-    spark = commits.sparkSession
+    """The nearest common ancestor of two commits over (commit, parent); None if there is none within `depth` steps.
 
-    def lineage(tip: str) -> DataFrame:
-        level = spark.createDataFrame([(tip, 0)], "commit string, distance int")
-        seen = level
-        for d in range(1, depth + 1):
-            level = level.join(commits, "commit").where("parent is not null").select(F.col("parent").alias("commit"), F.lit(d).alias("distance")).distinct().join(seen.select("commit"), "commit", "left_anti")
-            if level.isEmpty():
-                break
-            seen = seen.unionByName(level)
-        return seen
-
-    both = lineage(a).join(lineage(b).withColumnRenamed("distance", "other"), "commit")
-    first = both.orderBy(F.col("distance") + F.col("other"), "commit").first()
-    return first["commit"] if first else None
+    Both lineages go up together, a step a round, and stop at the first round in which they have met;
+    each round's new commits are written, so plans stay short.
+    """
+    spark = commits.sparkSession
+    level = materialised(spark.createDataFrame([(a, "a"), (b, "b")], "commit string, side string").withColumn("distance", F.lit(0)), "lineage")
+    seen, up = level, commits.where("parent is not null").select("commit", "parent").distinct()
+    best = lambda rows: rows.groupBy("commit").agg(F.countDistinct("side").alias("sides"), F.sum("distance").alias("far")).where("sides = 2").orderBy("far", "commit").first()
+    for d in range(1, depth + 1):
+        if (met := best(seen.groupBy("commit", "side").agg(F.min("distance").alias("distance")))) is not None and met["far"] < d:
+            return met["commit"]
+        level = level.join(up, "commit").select(F.col("parent").alias("commit"), "side").distinct().join(seen.select("commit", "side"), ["commit", "side"], "left_anti")
+        level = materialised(level.withColumn("distance", F.lit(d)), "lineage")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    met = best(seen.groupBy("commit", "side").agg(F.min("distance").alias("distance")))
+    return met["commit"] if met else None
 
 
 def is_ancestor(commits: DataFrame, old: str, new: str) -> bool:

@@ -84,3 +84,45 @@ def test_commits(spark):
     commits = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "b"), ("y", "x"), ("a", None)], "commit string, parent string")
     assert indexing.merge_base(commits, "c", "y") == "b" and indexing.is_ancestor(commits, "a", "y") and not indexing.is_ancestor(commits, "c", "y")
     assert indexing.effective_ref(None, "main") == "main" and indexing.effective_ref(None, None) == "live"
+
+
+def test_the_semantic_branch_finds_what_words_miss(spark, engine):
+    from seamline.operators import vectors
+
+    table = indexing.embed(engine.index)
+    with_vectors = Engine(engine.index, vectors=table)
+    body = engine.index.snippets.where("symbol_id is not null").orderBy("symbol_id").first()
+    queries = spark.createDataFrame([("0", "what is it that nobody names here")], "query_id string, query string")
+    queries = queries.withColumn("embedding", vectors.hashed_embedding(F.lit(body["content"])))
+    assert engine.search_code(queries).count() == 0
+    rows = with_vectors.search_code(queries).collect()
+    assert rows and {r["provenance"] for r in rows} == {"semantic"}
+    assert body["symbol_id"] in {r["symbol_id"] for r in rows}
+
+
+def test_call_sites_come_back_with_recursion_and_limits(spark):
+    from seamline.operators import graph
+
+    edges = [("a", "b", 1), ("b", "a", 2), ("b", "c", 3), ("a", "b", 4), ("c", "c", 5)]
+    edges = spark.createDataFrame([("r", "x", u, v, "f", n, "high") for u, v, n in edges] + [("r", "y", "a", "z", "f", 9, "low")], "repo string, ref string, from_symbol_id string, to_symbol_id string, source_file string, source_line int, confidence string")
+    roots = spark.createDataFrame([("r", "x", "a")], "repo string, ref string, root string")
+    rows = [(r["symbol"], r["source_line"], r["depth"]) for r in graph.call_graph(edges, roots, 3).orderBy("place").collect()]
+    assert rows == [("b", 1, 1), ("b", 4, 1), ("a", 2, 2), ("c", 3, 2), ("c", 5, 3)]
+    few = graph.call_graph(edges, roots, 3, limit=3).orderBy("place").collect()
+    assert [(r["symbol"], r["source_line"]) for r in few] == [("b", 1), ("b", 4), ("a", 2)] and all(r["truncated"] for r in few)
+    both = graph.call_graph(edges, roots, 1, "both").collect()
+    assert {(r["direction"], r["symbol"], r["source_line"]) for r in both} == {("callees", "b", 1), ("callees", "b", 4), ("callers", "b", 2)}
+
+
+def test_jobs_leases_and_paths(spark, tmp_path):
+    from seamline.operators import control
+
+    inside = tmp_path / "data" / "overlays" / "feature"
+    inside.mkdir(parents=True)
+    assert control.overlay_allowed(str(tmp_path / "data"), str(inside)) and not control.overlay_allowed(str(tmp_path / "data"), str(tmp_path / "data" / "overlays" / ".." / "base"))
+    (tmp_path / "data" / "overlays" / "link").symlink_to(tmp_path)
+    assert not control.overlay_allowed(str(tmp_path / "data"), str(tmp_path / "data" / "overlays" / "link"))
+    assert set(control.KEYS) == set(control.SCHEMAS)
+    old = spark.createDataFrame([("r", "a", 1)], "repo string, ref string, created_at int")
+    new = spark.createDataFrame([("r", "a", 5), ("r", "b", 6)], "repo string, ref string, created_at int")
+    assert {tuple(r) for r in control.put("branch_state", old, new).collect()} == {("r", "a", 1), ("r", "b", 6)}
