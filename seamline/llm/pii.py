@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import ALNUM, BitFilter, apart, bit_filter, chunks, flat_texts, stored, word_hashes, word_spans
+from seamline.llm.common import ALNUM, BitFilter, apart, bit_filter, chunks, discard, flat_texts, stored, word_hashes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -171,7 +171,9 @@ def revealing(documents: DataFrame, found: DataFrame, support: int = SUPPORT, di
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, F.col("t")))
     seen = documents.select("text").mapInArrow(lambda b: occurrences(b, shared.value), "t long, key binary")
     per_term = seen.join(terms, "t", "left_semi").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("d_t"))
-    return stored(possible.join(per_term, "t").select("e", "t", part("d_t").alias("part")).where(F.col("part") >= disclosure), "revealing")
+    out = stored(possible.join(per_term, "t").select("e", "t", part("d_t").alias("part")).where(F.col("part") >= disclosure), "revealing")
+    discard(texts, possible)
+    return out
 
 
 def places(batches: Iterator[pa.RecordBatch], bits: BitFilter, everywhere: bool) -> Iterator[pa.RecordBatch]:
@@ -275,7 +277,9 @@ def sanitise(documents: DataFrame, everywhere: bool = False) -> DataFrame:
     [CODE] if letters and digits are mixed, else [TERM].
     """
     found = stored(documents.select("doc_id", "text").mapInArrow(find, FOUND), "found")
-    terms = stored(term_spans(documents, revealing(documents, found), everywhere), "terms")
+    reveals = revealing(documents, found)
+    terms = stored(term_spans(documents, reveals, everywhere), "terms")
+    discard(found, reveals)
     prefix = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(terms, prefix))
     plain = documents.mapInArrow(lambda b: _sanitise(b, shared.value), documents.schema)

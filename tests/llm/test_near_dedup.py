@@ -117,6 +117,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_that_no_block_holds(spark, monkeypatch):
+    from seamline.llm import components as c
+
+    # the driver takes the rounds of stars
+    monkeypatch.setattr(c, "EDGES", 4)
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 120)]
+    got = dict(c.components(spark.createDataFrame(edges, "u long, v long").repartition(6)).distinct().collect())
+    assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 120), 100)}
+
+
 def test_one_row_of_each_group_stays(spark):
     for docs in (documents(spark), read(spark, "documents")):
         out = nd.deduplicate(docs)

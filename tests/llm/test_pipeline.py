@@ -1,5 +1,11 @@
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from seamline.llm import toxicity
+from seamline.llm.packing import tokenizer_path
 from tests.llm import test_decontamination, test_near_dedup, test_pii
 from tests.llm.helpers import read
 
@@ -35,7 +41,19 @@ def test_each_stage_against_brute_force(spark):
                 assert any(spans.values()) or out[name][d] == text
                 assert not any(test_pii.brute(out[name][d]).values())
     pieces = stage["packing"](spark, docs, SF).collect()
-    assert {r["doc_id"] for r in pieces} == set(out["pii"])
+    # an exact round trip: pieces of a document are its ids, in order and whole
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    by_doc = {}
+    for r in pieces:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    assert set(by_doc) == set(out["pii"])
+    for d, text in out["pii"].items():
+        ids, at = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(by_doc[d], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
 
 
 def test_whole_run(spark):
