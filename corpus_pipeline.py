@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.common import stored, tuned
+from seamline.llm.common import discard, stored, tuned
 from seamline.llm.decontamination import decontaminate
 from seamline.llm.near_dedup import deduplicate
 from seamline.llm.packing import pack
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+            kept = stored(kept, name)
+            # nothing reads the stage before any more; the given table isn't touched
+            discard(docs)
+        docs = kept
     return docs
