@@ -117,11 +117,11 @@ class BitFilter:
 
 
 def bit_filter(df: DataFrame, number, most: int = 1 << 25) -> BitFilter:
-    """A filter of the values of `number` in df. Sized by the rows up to `most` bits; maps of 32,768 bits come to the driver, no values."""
+    """A filter of the values of `number` in df, with 1,024 bits a row from 2^21 up to `most`; maps of 32,768 bits come to the driver, no values."""
     number = df.where(number.isNotNull()).select(number.cast("long").alias("number"))
-    bits = 1 << 15
-    while bits < most and bits < 32 * number.count():
-        bits = min(most, bits * 32)
+    rows, bits = number.count(), 1 << 21
+    while bits < most and bits < 1024 * rows:
+        bits *= 2
     # both functions count from 1
     at = F.pmod("number", F.lit(bits)) + 1
     maps = number.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
