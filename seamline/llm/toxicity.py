@@ -341,7 +341,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> S
     Features are words and prefixes of words of the restored texts, of which those are used that chance
     would hardly give so large a share of toxic rows. Exact and near copies among the toxic rows (a
     least hash of their five-word sequences in common) count once. Over them a logistic model is fitted.
-    Without labels of both classes nothing scores high.
+    Without labelled texts of both classes nothing scores high.
     """
     sc = documents.sparkSession.sparkContext
     model = character_model(documents)
@@ -375,8 +375,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> S
     table = apart.unionAll(others).mapInArrow(lambda b: design(b, shared.value, marks.value), "toxic int, found array<long>").toArrow()
     lists = table.column("found").to_pylist()
     at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    weights, constant = logistic(at, np.array([c for x in lists for c in x], np.int64), table.column("toxic").to_numpy().astype(np.float64), len(found))
     discard(texts, apart, toxic)
+    y = table.column("toxic").to_numpy().astype(np.float64)
+    if not 0 < y.sum() < len(y):
+        # the labelled documents of one class aren't in the table
+        return Scorer(model, np.zeros(0, np.int64), np.zeros(0), -500.0)
+    weights, constant = logistic(at, np.array([c for x in lists for c in x], np.int64), y, len(found))
     return Scorer(model, found, weights, constant)
 
 
