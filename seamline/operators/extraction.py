@@ -6,11 +6,12 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import scoring, text
+from seamline.sources.shared import materialised
 
 RESULT = "path string, language string, item string, name string, qualified_name string, kind string, parent string, signature string, line_start int, line_end int, target string, label string"
 COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
@@ -159,20 +160,30 @@ def extract_lines(path: str, source: str, language: str) -> Iterator[dict]:
                 yield _row(path, language, "call", target=name, label="heuristic" if "." in name else "static", line_start=i + 1)
 
 
+#: Files whose rows are held at once.
+FILES_AT_ONCE = 1000
+
+
 def extract(files: DataFrame) -> DataFrame:
-    """Symbols, imports and calls of all files (path, language, content), and an `error` row for a file that can't be parsed."""
+    """Symbols, imports and calls of all files (path, language, content), and an `error` row for a file that can't be parsed.
+
+    Files are dealt to all tasks first: a table of them can be small enough to be read by one.
+    """
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[dict] = []
-            for path, language, content in pdf[["path", "language", "content"]].itertuples(index=False):
-                try:
-                    rows += extract_python(path, content or "") if language == "python" else extract_lines(path, content or "", language)
-                except (SyntaxError, ValueError) as problem:
-                    rows.append(_row(path, language, "error", target=str(problem)))
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"line_start": "Int32", "line_end": "Int32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                rows: list[dict] = []
+                part = batch.slice(at, FILES_AT_ONCE)
+                for path, language, content in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    try:
+                        rows += extract_python(path, content or "") if language == "python" else extract_lines(path, content or "", language)
+                    except (SyntaxError, ValueError) as problem:
+                        rows.append(_row(path, language, "error", target=str(problem)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c.startswith("line_") else pa.string()) for c in COLUMNS], COLUMNS)
 
-    return files.select("path", "language", "content").mapInPandas(run, RESULT)
+    return files.select("path", "language", "content").repartition(partitions, "path").mapInArrow(run, RESULT)
 
 
 def symbol_rows(extracted: DataFrame, repo: str, ref: str = "live") -> DataFrame:
@@ -181,6 +192,8 @@ def symbol_rows(extracted: DataFrame, repo: str, ref: str = "live") -> DataFrame
     s = s.withColumns({"repo": F.lit(repo), "ref": F.lit(ref)})
     s = s.withColumn("symbol_id", scoring.symbol_id(F.col("repo"), F.col("ref"), F.col("path"), F.col("kind"), F.col("line_start"), F.col("qualified_name")))
     s = s.withColumn("symbol_stable_id", scoring.stable_id(F.col("language"), F.col("kind"), F.col("qualified_name"), F.col("signature")))
+    # read several times below; files would be parsed as often
+    s = materialised(s, "named")
     owners = s.select("path", F.col("name").alias("parent"), F.col("line_start").alias("p_line"), F.col("line_end").alias("p_end"), F.col("symbol_id").alias("p_id"))
     found = s.select("path", "parent", "symbol_id", "line_start", "line_end").join(owners, ["path", "parent"]).where("p_line < line_start")
     around = F.col("p_end") >= F.col("line_end")
